@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from haulframe.llm import substring_dedup
+from haulframe.llm import ngram_join, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_ngram_join": ngram_join.OP9_SQL,
         "op10_substring_dedup": substring_dedup.OP10_SQL,
     }
