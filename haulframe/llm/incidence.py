@@ -16,7 +16,7 @@ OWNED = "owner bigint, hashes binary, counts binary"
 OWNED_ARROW = pa.schema([("owner", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
 #: Pairs that a map task gathers before it packs them.
-PACK_PAIRS = 2 << 20
+PACK_PAIRS = 3 << 18
 
 
 def _parts(hashes: np.ndarray, owners: np.ndarray, buckets: int) -> list[tuple[bytes, bytes]]:
