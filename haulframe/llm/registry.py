@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from haulframe.llm import ngram_join, substring_dedup
+from haulframe.llm import decontamination, ngram_join, sentencepieces, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op2_sentencepieces": sentencepieces.op2_sentencepieces,
+        "op5_decontamination": decontamination.op5_decontamination,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
