@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from haulframe.llm import decontamination, ngram_join, sentencepieces, substring_dedup
+from haulframe.llm import decontamination, langid, ngram_join, sentencepieces, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op2_sentencepieces": sentencepieces.op2_sentencepieces,
+        "op4_langid": langid.op4_langid,
         "op5_decontamination": decontamination.op5_decontamination,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
