@@ -10,10 +10,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from haulframe.llm.tokens import mix
+
 PACKED = "bucket int, hashes binary, owners binary, more_hashes binary, more_owners binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("more_hashes", pa.binary()), ("more_owners", pa.binary())])
-OWNED = "owner bigint, hashes binary, counts binary"
-OWNED_ARROW = pa.schema([("owner", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+OWNED = "bucket int, owners binary, hashes binary, counts binary"
+OWNED_ARROW = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
 #: Pairs that a map task gathers before it packs them.
 PACK_PAIRS = 3 << 18
@@ -39,22 +41,29 @@ def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), kind)
 
 
-def by_owner(owners: np.ndarray, hashes: np.ndarray, counts: np.ndarray | None) -> pa.Table:
-    """One row per owner with its hashes (and counts) as packed arrays."""
+def bucket_of(owners: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(owners.view(np.uint64)) >> np.uint64(64 - int(buckets).bit_length() + 1)).astype(np.int32)
+
+
+def by_owner(owners: np.ndarray, hashes: np.ndarray, counts: np.ndarray | None, buckets: int) -> pa.Table:
+    """The pairs (and their counts) again packed, now by buckets of owners; a row per bucket."""
+    to = bucket_of(owners, buckets)
+    order = np.lexsort((owners, to))
+    ends = np.cumsum(np.bincount(to, minlength=buckets))
+    owners, hashes, counts = owners[order], hashes[order], None if counts is None else counts[order].astype(np.int32)
+    rows = [(b, owners[i:j].tobytes(), hashes[i:j].tobytes(), None if counts is None else counts[i:j].tobytes()) for b, (i, j) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends)) if j > i]
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, OWNED_ARROW)], schema=OWNED_ARROW)
+
+
+def owned(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    """Owners, hashes, counts of a bucket of owners, in order of owners, and where each owner begins (and the last ends)."""
+    owners, hashes = joined(table.column("owners"), np.int64), joined(table.column("hashes"), np.uint64)
+    counted = table.column("counts").null_count < table.num_rows
     order = np.argsort(owners, kind="stable")
-    owners, hashes = owners[order], hashes[order]
-    begins = np.flatnonzero(np.concatenate(([True], owners[1:] != owners[:-1]))) if len(owners) else np.zeros(0, np.int64)
-    ends = np.concatenate((begins[1:], [len(owners)])) if len(owners) else begins
-    if counts is not None:
-        counts = counts[order].astype(np.int32)
-    return pa.table(
-        [
-            pa.array(owners[begins], pa.int64()),
-            pa.array([hashes[i:j].tobytes() for i, j in zip(begins, ends)], pa.binary()),
-            pa.array([None if counts is None else counts[i:j].tobytes() for i, j in zip(begins, ends)], pa.binary()),
-        ],
-        schema=OWNED_ARROW,
-    )
+    owners = owners[order]
+    begins, _ = group_ids(owners)
+    return owners, hashes[order], joined(table.column("counts"), np.int32)[order] if counted else None, np.append(begins, len(owners))
 
 
 def repeated(hashes: np.ndarray) -> np.ndarray:

@@ -104,7 +104,14 @@ def _columns_of_rows(k: int, buckets: int):
     return run
 
 
-def _shared_columns(table: pa.Table) -> pa.Table:
+def _shared_columns(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        return _shared(table, buckets)
+
+    return run
+
+
+def _shared(table: pa.Table, buckets: int) -> pa.Table:
     hashes, rows = incidence.joined(table.column("hashes"), np.uint64), incidence.joined(table.column("owners"), np.int64)
     at = incidence.repeated(hashes)
     hashes, rows = hashes[at], rows[at]
@@ -116,7 +123,16 @@ def _shared_columns(table: pa.Table) -> pa.Table:
     begins, run = incidence.group_ids(hashes)
     counts = np.bincount(run, minlength=len(begins))[run] if len(run) else run
     shared = counts > 1
-    return incidence.by_owner(rows[shared], hashes[shared], counts[shared])
+    return incidence.by_owner(rows[shared], hashes[shared], counts[shared], buckets)
+
+
+def _with_bucket(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            to = pa.array(incidence.bucket_of(batch.column(0).to_numpy(), buckets))
+            yield pa.RecordBatch.from_arrays([*batch.columns, to], names=["row", "n", "bucket"])
+
+    return run
 
 
 _ROWS = "row bigint, n int, lone int, prefix int, columns array<bigint>"
@@ -124,29 +140,31 @@ _ROWS_ARROW = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("lone", pa.int
 
 
 def _rare_first(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row, n, hashes, counts in zip(*(batch.column(i) for i in range(4))):
-                n = n.as_py()
-                prefix = n - (percent * n + 99) // 100 + 1
-                columns = np.frombuffer(b"".join(hashes.as_py()), np.int64)
-                lone = n - len(columns)
-                if lone < prefix:
-                    order = np.lexsort((columns, np.frombuffer(b"".join(counts.as_py()), np.int32)))
-                    out.append((row.as_py(), n, lone, prefix - lone, columns[order]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * 5, _ROWS_ARROW)], schema=_ROWS_ARROW)
+    def run(table: pa.Table, sizes: pa.Table) -> pa.Table:
+        rows, hashes, counts, begins = incidence.owned(table)
+        out = []
+        if len(rows):
+            named, n = sizes.column("row").to_numpy(), sizes.column("n").to_numpy()
+            order = np.argsort(named)
+            rows, shared = rows[begins[:-1]], np.diff(begins)
+            n = n[order][np.searchsorted(named[order], rows)]
+            prefix, lone = n - (percent * n + 99) // 100 + 1, n - shared
+            for i in np.flatnonzero(lone < prefix):
+                mine = slice(begins[i], begins[i + 1])
+                columns = hashes[mine].view(np.int64)
+                out.append((rows[i], n[i], lone[i], prefix[i] - lone[i], columns[np.lexsort((columns, counts[mine]))]))
+        return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * 5, _ROWS_ARROW)], schema=_ROWS_ARROW)
 
     return run
 
 
 def candidate_rows(docs: DataFrame, signed: DataFrame, text: str, k: int, percent: int) -> DataFrame:
     """The rows that can link with another: row, n, lone, prefix, columns (shared by other rows, rare first)."""
-    packed = docs.select(F.col(text).alias("t")).mapInArrow(_columns_of_rows(k, bucket_count(docs, text)), incidence.PACKED)
-    shared = packed.groupBy("bucket").applyInArrow(_shared_columns, incidence.OWNED)
-    lists = shared.groupBy(F.col("owner").alias("row")).agg(F.collect_list("hashes").alias("hashes"), F.collect_list("counts").alias("counts"))
-    sizes = signed.where("row is not null").groupBy("row").agg(F.max("n_shingles").alias("n"))
-    return lists.join(sizes, "row").select("row", "n", "hashes", "counts").mapInArrow(_rare_first(percent), _ROWS)
+    buckets = bucket_count(docs, text)
+    packed = docs.select(F.col(text).alias("t")).mapInArrow(_columns_of_rows(k, buckets), incidence.PACKED)
+    shared = packed.groupBy("bucket").applyInArrow(_shared_columns(buckets), incidence.OWNED)
+    sizes = signed.where("row is not null").groupBy("row").agg(F.max("n_shingles").alias("n")).mapInArrow(_with_bucket(buckets), "row bigint, n bigint, bucket int")
+    return shared.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(_rare_first(percent), _ROWS)
 
 
 def _counted(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:

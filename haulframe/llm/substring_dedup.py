@@ -68,22 +68,39 @@ def _hash_windows(width: int, buckets: int):
     return run
 
 
-def _count_bucket(table: pa.Table) -> pa.Table:
+def _count_bucket(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        return _count(table, buckets)
+
+    return run
+
+
+def _count(table: pa.Table, buckets: int) -> pa.Table:
     hashes, ids = incidence.joined(table.column("hashes"), np.uint64), incidence.joined(table.column("owners"), np.int64)
     at = incidence.repeated(hashes)
     hashes, ids = hashes[at], ids[at]
     begins, run = incidence.group_ids(hashes)
     lost = ids > np.minimum.reduceat(ids, begins)[run] if len(ids) else np.zeros(0, bool)
     more_hashes, more_ids = incidence.joined(table.column("more_hashes"), np.uint64), incidence.joined(table.column("more_owners"), np.int64)
-    return incidence.by_owner(np.concatenate((ids[lost], more_ids)), np.concatenate((hashes[lost], more_hashes)), None)
+    return incidence.by_owner(np.concatenate((ids[lost], more_ids)), np.concatenate((hashes[lost], more_hashes)), None, buckets)
+
+
+_LOST = "owner bigint, lost_hashes binary"
+
+
+def _lost_of_documents(table: pa.Table) -> pa.Table:
+    owners, hashes, _, begins = incidence.owned(table)
+    lists = [hashes[i:j].tobytes() for i, j in zip(begins[:-1], begins[1:])]
+    return pa.table([pa.array(owners[begins[:-1]], pa.int64()), pa.array(lists, pa.binary())], names=["owner", "lost_hashes"])
 
 
 def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
-    """owner (a doc_id) and hashes (array of binary: packed hashes) of the windows that a smaller doc_id also has."""
+    """owner (a doc_id) and lost_hashes (binary: packed hashes) of the windows that a smaller doc_id also has."""
     known = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t"))
-    packed = known.mapInArrow(_hash_windows(width, buckets := bucket_count(docs, text)), incidence.PACKED)
-    lost = packed.groupBy("bucket").applyInArrow(_count_bucket, incidence.OWNED)
-    return lost.groupBy("owner").agg(F.collect_list("hashes").alias("lost_hashes"))
+    buckets = bucket_count(docs, text)
+    packed = known.mapInArrow(_hash_windows(width, buckets), incidence.PACKED)
+    lost = packed.groupBy("bucket").applyInArrow(_count_bucket(buckets), incidence.OWNED)
+    return lost.groupBy("bucket").applyInArrow(_lost_of_documents, _LOST)
 
 
 def _cut(text_at: int, lost_at: int, width: int, schema: pa.Schema):
@@ -102,7 +119,7 @@ def _cut(text_at: int, lost_at: int, width: int, schema: pa.Schema):
                         mine = lost[part.first + doc].as_py()
                         if mine:
                             a, b = window_bounds[doc], window_bounds[doc + 1]
-                            hit = at[a:b][np.isin(hashes[a:b], np.frombuffer(b"".join(mine), np.uint64))]
+                            hit = at[a:b][np.isin(hashes[a:b], np.frombuffer(mine, np.uint64))]
                             np.add.at(change, hit, 1)
                             np.add.at(change, hit + width, -1)
                     keep = np.cumsum(change[:-1]) == 0
