@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from haulframe.llm import decontamination, langid, ngram_join, sentencepieces, substring_dedup
+from haulframe.llm import decontamination, langid, ngram_join, quality_rules, sentencepieces, substring_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_sentencepieces": sentencepieces.op2_sentencepieces,
         "op4_langid": langid.op4_langid,
         "op5_decontamination": decontamination.op5_decontamination,
+        "op6_quality_rules": quality_rules.op6_quality_rules,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
@@ -17,6 +18,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_quality_rules": quality_rules.OP6_SQL,
         "op9_ngram_join": ngram_join.OP9_SQL,
         "op10_substring_dedup": substring_dedup.OP10_SQL,
     }
