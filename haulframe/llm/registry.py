@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from haulframe.llm import decontamination, langid, ngram_join, quality_rules, sentencepieces, substring_dedup
+from haulframe.llm import decontamination, langid, license_scan, ngram_join, quality_rules, sentencepieces, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op2_sentencepieces": sentencepieces.op2_sentencepieces,
+        "op3_license_scan": license_scan.op3_license_scan,
         "op4_langid": langid.op4_langid,
         "op5_decontamination": decontamination.op5_decontamination,
         "op6_quality_rules": quality_rules.op6_quality_rules,
@@ -18,6 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_license_scan": license_scan.OP3_SQL,
         "op6_quality_rules": quality_rules.OP6_SQL,
         "op9_ngram_join": ngram_join.OP9_SQL,
         "op10_substring_dedup": substring_dedup.OP10_SQL,
