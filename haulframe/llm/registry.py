@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from haulframe.llm import decontamination, langid, license_scan, ngram_join, quality_rules, sentencepieces, substring_dedup
+from haulframe.llm import decontamination, langid, license_scan, ngram_join, quality_classifier, quality_rules, sentencepieces, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op2_sentencepieces": sentencepieces.op2_sentencepieces,
         "op3_license_scan": license_scan.op3_license_scan,
         "op4_langid": langid.op4_langid,
