@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from haulframe.llm import decontamination, langid, license_scan, ngram_join, quality_classifier, quality_rules, sentencepieces, substring_dedup
+from haulframe.llm import decontamination, html_extraction, langid, license_scan, ngram_join, quality_classifier, quality_rules, sentencepieces, substring_dedup, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "op4_langid": langid.op4_langid,
         "op5_decontamination": decontamination.op5_decontamination,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_html_extraction": html_extraction.op7_html_extraction,
+        "op8_url_filter": url_filter.op8_url_filter,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
