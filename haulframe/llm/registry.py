@@ -6,7 +6,10 @@ from haulframe.llm import decontamination, html_extraction, langid, license_scan
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op2_sentencepieces": sentencepieces.op2_sentencepieces,
         "op3_license_scan": license_scan.op3_license_scan,
@@ -21,7 +24,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    import corpus_pipeline
+
+    pipeline = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return pipeline | {
         "op3_license_scan": license_scan.OP3_SQL,
         "op6_quality_rules": quality_rules.OP6_SQL,
         "op9_ngram_join": ngram_join.OP9_SQL,
