@@ -1,0 +1 @@
+"""Vendor-operations analytics as DataFrame-to-DataFrame transformations."""
