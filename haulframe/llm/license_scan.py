@@ -64,25 +64,24 @@ def _let(value: Column, body) -> Column:
 
 
 def _is(words: Column, at: Column, word: str) -> Column:
-    """Whether a word of the text is this one; only ASCII is lowered, so longer encodings never match."""
-    x = F.get(words, at)
-    return F.coalesce((F.octet_length(x) == len(word)) & (F.lower(x) == word), F.lit(False))
+    return F.coalesce(F.get(words, at) == word, F.lit(False))
 
 
 def _words(text: str) -> Column:
-    # A-Z counts as a-z, so it is part of words here
-    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    """Lower-case words. Of all characters beyond ASCII only the Kelvin sign has a lower case within it; it is set aside first."""
+    plain = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\u212a"), F.lit("\u212b"))
+    return F.regexp_extract_all(F.lower(plain), F.lit(_WORD), F.lit(0))
 
 
-def _among(x: Column, vocabulary: list[str]) -> Column:
-    return F.lower(x).isin(vocabulary) & (F.octet_length(x) == F.length(x))
+def _present(words: Column, vocabulary: list[str]) -> Column:
+    """The different words of the vocabulary that occur, by one look-up a word."""
+    return F.array_intersect(words, F.array(*map(F.lit, vocabulary)))
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> dict[str, int]:
     """Documents of the corpus with each template word; the result is as long as the templates' vocabulary."""
     vocabulary = sorted({w for t in TEMPLATES.values() for w, _ in template_words(t)})
-    found = F.array_distinct(F.transform(F.filter(_words(text), lambda x: _among(x, vocabulary)), lambda x: F.lower(x)))
-    counts = docs.select(F.explode(found).alias("w")).groupBy("w").count().collect()
+    counts = docs.select(F.explode(_present(_words(text), vocabulary)).alias("w")).groupBy("w").count().collect()
     return dict.fromkeys(vocabulary, 0) | {r["w"]: r["count"] for r in counts}
 
 
@@ -139,9 +138,9 @@ def scan(docs: DataFrame, frequencies: dict[str, int], text: str = "text") -> Da
         return F.when(share.isNotNull(), F.struct(F.lit(label).alias("label"), share.alias("share")))
 
     def of_words(words: Column) -> Column:
-        marked = F.transform(words, lambda x, i: F.when(_among(x, vocabulary), F.struct(F.lower(x).alias("w"), i.alias("p"))))
-        some = F.filter(marked, lambda h: h.isNotNull())
-        return F.struct(F.size(words).cast("bigint").alias("n"), _let(some, lambda hits: F.when(F.size(hits) > 0, of_hits(words, hits))).alias("of"))
+        marked = F.transform(words, lambda x, i: F.when(x.isin(vocabulary), F.struct(x.alias("w"), i.alias("p"))))
+        some = _let(F.array_compact(marked), lambda hits: of_hits(words, hits))
+        return F.struct(F.size(words).cast("bigint").alias("n"), F.when(F.size(_present(words, vocabulary)) > 0, some).alias("of"))
 
     # both labels come from fixed lists, so a row's result is small whatever its text
     made = docs.withColumn("__scan", _let(_words(text), of_words))
