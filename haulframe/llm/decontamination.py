@@ -156,7 +156,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
         names = spark.sparkContext.broadcast(ids)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, names=names) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in tokens.frugal(batches):
                 for first, rows in _found(sent, batch, 1):
                     if len(rows):
                         owners = batch.column(0).take(pa.array(rows[:, 0] + first))
@@ -175,7 +175,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
         sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, texts))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in tokens.frugal(batches):
                 keep = np.ones(batch.num_rows, bool)
                 for first, rows in _found(sent, batch, at):
                     keep[rows[:, 0] + first] = False

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulframe.llm.storage import free_name, materialise
+from haulframe.llm.tokens import frugal
 
 #: Deeper elements play the role of the one at this depth, so that unclosed tags make no long paths.
 DEPTH = 64
@@ -183,7 +184,7 @@ def _mixed(key: int, count: int) -> int:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in frugal(batches):
         held: dict[tuple[str, str], list] = {}
         for host, key, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
             counts, places, mass = tokens_of(page or "")
@@ -232,7 +233,7 @@ def main_slots(template: list | None) -> set[str]:
 def _read(page_at: int, n: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, set[str]] = {}
-        for batch in batches:
+        for batch in frugal(batches):
             texts = []
             hosts, found = batch.column(n), batch.column(n + 1)
             for i, page in enumerate(batch.column(page_at)):

@@ -209,7 +209,7 @@ def pooled(network: Network, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         letters = np.zeros(len(starts), np.float32)
         i = 0
         while i < len(where):
-            j = i + max(1, min(8192, (1 << 18) // (int(lengths[where[i]]) + 2)))
+            j = i + max(1, min(4096, (1 << 16) // (int(lengths[where[i]]) + 2)))
             j = min(j, int(np.searchsorted(lengths[where], lengths[where[i]] + 1, side="right")), len(where))
             some = where[i:j]
             padded = _padded(part.data, starts[some], lengths[some])
@@ -241,7 +241,7 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text") -> Dat
     names = np.array([*network.languages, UNKNOWN], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tokens.frugal(batches):
             mean, _ = pooled(sent.value, batch.column(at))
             some = batch.column(n).to_numpy(zero_copy_only=False).astype(bool)
             best = np.where(some, mean.argmax(1), len(names) - 1)

@@ -66,7 +66,7 @@ _SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tokens.frugal(batches):
             for part in tokens.slices(batch.column(2), lower=True):
                 _, _, sizes, signs = _sets(part, k)
                 ids, texts = (batch.column(c).slice(part.first, part.n) for c in (0, 1))
@@ -83,7 +83,7 @@ def _columns_of_rows(k: int, buckets: int):
         def packed() -> pa.RecordBatch:
             return incidence.pack(np.concatenate(hashes), np.concatenate(rows), none, none, buckets)
 
-        for batch in batches:
+        for batch in tokens.frugal(batches):
             for part in tokens.slices(batch.column(0), lower=True):
                 found, owners, sizes, signs = _sets(part, k)
                 new = np.zeros(part.n, bool)
@@ -128,7 +128,7 @@ def _shared(table: pa.Table, buckets: int) -> pa.Table:
 
 def _with_bucket(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tokens.frugal(batches):
             to = pa.array(incidence.bucket_of(batch.column(0).to_numpy(), buckets))
             yield pa.RecordBatch.from_arrays([*batch.columns, to], names=["row", "n", "bucket"])
 

@@ -40,7 +40,7 @@ VARIANTS = 4
 #: Units of more characters than this are segmented one by one with a heap.
 LONG_UNIT = 48
 #: Bytes of text whose units are looked at together.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 20
 
 _NONE = np.float32(np.inf)
 _SPACE_MARK = 0x2581
@@ -250,7 +250,7 @@ class Encoder:
         for width in (1, 4, 8, 12, 16, 24, LONG_UNIT):
             which = np.flatnonzero((sizes > low) & (sizes <= width))
             low = width
-            for some in np.array_split(which, max(1, len(which) * width >> 19)):
+            for some in np.array_split(which, max(1, len(which) * width >> 17)):
                 if len(some):
                     symbols = np.full((len(some), width), -1, np.int32)
                     symbols[np.arange(width)[None, :] < sizes[some][:, None]] = chars[points[tokens.ragged(starts[some], sizes[some])]]
@@ -357,11 +357,11 @@ def _mapped(df: DataFrame, model: Model, columns: list[tuple[str, T.DataType]],
         schema = schema.add(free_name(name, schema.names), kind)
     arrow = to_arrow_schema(schema)
     sent = df.sparkSession.sparkContext.broadcast(model)
-    rows = 512
+    rows = 256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent)
-        for whole in batches:
+        for whole in tokens.frugal(batches):
             for i in range(0, whole.num_rows, rows):
                 batch = whole.slice(i, rows)
                 made = [*batch.columns, *work(encoder, batch)]

@@ -52,7 +52,7 @@ def _first_in_batch(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np
 def _hash_windows(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ids, held = [], [], 0
-        for batch in batches:
+        for batch in tokens.frugal(batches):
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
             for part in tokens.slices(batch.column(1)):
                 found, at = part.windows(part.word_hashes(), width)
@@ -105,7 +105,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 def _cut(text_at: int, lost_at: int, width: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in tokens.frugal(batches):
             offsets, _ = tokens.text_buffers(whole.column(text_at))
             for i, j in tokens.spans(offsets, 4 * tokens.SLICE_BYTES):
                 batch = whole.slice(i, j - i)

@@ -84,7 +84,7 @@ def with_statistics(docs: DataFrame, text: str, names: dict[str, str]) -> DataFr
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tokens.frugal(batches):
             found = np.concatenate([np.zeros((0, len(NAMES))), *(statistics(p) for p in tokens.slices(batch.column(at)))])
             kept = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*kept, *(pa.array(x) for x in found.T)], arrow)], schema=arrow)

@@ -7,6 +7,7 @@ sums modulo 2**64, divided by a power of the (odd, hence invertible) base.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,20 +42,38 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _powers: dict[str, np.ndarray] = {}
 
+#: Bytes that are hashed at once, unless a word is longer; the kept tables of powers are as long.
+_HASH_BYTES = 1 << 20
+
 
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1); kept and grown, as every slice needs it."""
+    """base**0 .. base**(n-1); kept, as every slice needs them."""
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16) if have is None else max(n, 2 * len(have))
-        step = np.full(size, base, np.uint64)
+        step = np.full(max(n, _HASH_BYTES + 1), base, np.uint64)
         step[0] = 1
         have = np.multiply.accumulate(step)
-        if size <= 16 << 20:
+        if len(have) == _HASH_BYTES + 1:
             _powers[name] = have
     return have[:n]
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; memory that one of them took is given back before the next, as workers live on with other operators."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+
+
 @dataclass
 class Slice:
     """Some consecutive documents: bytes, document bounds in them, and the words."""
@@ -75,13 +94,21 @@ class Slice:
 
     def word_hashes(self) -> np.ndarray:
         """A 64-bit hash of the bytes of each word."""
-        codes = _BYTE_CODES[self.data]
-        codes *= _power("byte", _BASE, len(codes))
-        total = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes, out=total[1:])
-        out = total[self.ends] - total[self.starts]
-        out *= _power("inverse", _BASE_INVERSE, len(codes) + 1)[self.starts]
-        return mix(out + (self.ends - self.starts).astype(np.uint64))
+        out = np.empty(len(self.starts), np.uint64)
+        i = 0
+        while i < len(out):
+            first = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, first + _HASH_BYTES, side="right")))
+            codes = _BYTE_CODES[self.data[first : self.ends[j - 1]]]
+            codes *= _power("byte", _BASE, len(codes))
+            total = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum(codes, out=total[1:])
+            starts, ends = self.starts[i:j] - first, self.ends[i:j] - first
+            found = total[ends] - total[starts]
+            found *= _power("inverse", _BASE_INVERSE, len(codes) + 1)[starts]
+            out[i:j] = mix(found + (ends - starts).astype(np.uint64))
+            i = j
+        return out
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rabin-Karp hash of each k consecutive words of one document, and the word that it begins with."""

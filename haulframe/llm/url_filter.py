@@ -136,7 +136,7 @@ def judge(pages: DataFrame, model: Regression, url: str = "url", rules=RULES) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        for batch in batches:
+        for batch in tokens.frugal(batches):
             p = sent.value.probabilities(pc.binary_join_element_wise(batch.column(at), batch.column(at + 1), ""))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns, pa.array(p)], arrow)], schema=arrow)
 
