@@ -26,8 +26,9 @@ MIN_CHARS = 80
 CLASS_BOUND = (0.15, 1.5)
 WORD_BOUND = (0.24, 0.3)
 
-_SPACE = r"[\x20\x09-\x0D]+"
-_WORD = r"[^\x20\x09-\x0D]+"
+# single characters, not ranges: Java's patterns look those up in a table
+_SPACE = r"[\x20\x09\x0A\x0B\x0C\x0D]+"
+_WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
 _SYMBOLS = r"[#*$%&|<>]+"
 
 #: Character classes, each taken out of what the ones before it have left; the rest is beyond ASCII.
