@@ -1,9 +1,10 @@
 """License scans with a positional rare-token index, in DataFrame functions only.
 
-The index holds, for each template, its ``RARE`` words of highest inverse document frequency over the
-whole corpus with their positions. A document's indexed words vote for (template, offset): the word's
-position minus its position in the template. An offset with ``VOTES`` votes is verified: every word of
-the template's mandatory key phrases must stand at its place. Plain phrases are counted besides.
+The index holds every template word with its positions. Of a document's licence words the ``RARE`` ones
+of highest inverse document frequency over the whole corpus are looked up, and each vote goes to
+(template, offset): the word's position minus its position in the template. An offset with ``VOTES``
+votes is verified: every word of the template's mandatory key phrases must stand at its place. Plain
+phrases are counted besides.
 One pass counts the document frequencies of the template words (a table of their size), a second one
 scans; both work inside the row, so no group of documents is ever gathered.
 
@@ -21,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RARE = 4
+RARE = 16
 VOTES = 2
 
 # Phrases whose places are counted, and their labels.
@@ -46,6 +47,8 @@ TEMPLATES = {
 }
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same with each character named, which Java's patterns look up in a table instead of testing range by range.
+_LISTED_WORD = "[^" + "".join(f"\\x{i:02X}" for i in [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]) + "]+"
 
 
 def template_words(text: str) -> list[tuple[str, bool]]:
@@ -70,7 +73,7 @@ def _is(words: Column, at: Column, word: str) -> Column:
 def _words(text: str) -> Column:
     """Lower-case words. Of all characters beyond ASCII only the Kelvin sign has a lower case within it; it is set aside first."""
     plain = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\u212a"), F.lit("\u212b"))
-    return F.regexp_extract_all(F.lower(plain), F.lit(_WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(plain), F.lit(_LISTED_WORD), F.lit(0))
 
 
 def _present(words: Column, vocabulary: list[str]) -> Column:
@@ -85,21 +88,21 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> dict[str, int]:
     return dict.fromkeys(vocabulary, 0) | {r["w"]: r["count"] for r in counts}
 
 
-def rare_index(frequencies: dict[str, int], rare: int = RARE) -> dict[str, list[tuple[str, int]]]:
-    """Per template its words of highest inverse document frequency, the earlier of equals, with their positions."""
-    out = {}
-    for label, text in TEMPLATES.items():
-        words = [w for w, _ in template_words(text)]
-        out[label] = [(words[i], i) for i in sorted(range(len(words)), key=lambda i: (frequencies[words[i]], i))[:rare]]
-    return out
+def by_rarity(frequencies: dict[str, int]) -> list[str]:
+    """The template words by falling inverse document frequency, equals by name."""
+    return sorted(frequencies, key=lambda w: (frequencies[w], w))
 
 
 def scan(docs: DataFrame, frequencies: dict[str, int], text: str = "text") -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    index = rare_index(frequencies)
-    indexed = sorted({w for entries in index.values() for w, _ in entries})
-    starts = sorted({p.split()[0] for p in PHRASES})
-    vocabulary = sorted({*indexed, *starts})
+    ranked = by_rarity(frequencies)
+    phrase_words = sorted({w for p in PHRASES for w in p.split()})
+
+    def has_all(present: Column, needed: list[str]) -> Column:
+        return reduce(lambda a, b: a & b, [F.array_contains(present, w) for w in dict.fromkeys(needed)])
+
+    def key_words(label: str) -> list[str]:
+        return [w for w, key in template_words(TEMPLATES[label]) if key]
 
     def places(words: Column, hits: Column, phrase: str) -> Column:
         parts = phrase.split()
@@ -107,12 +110,12 @@ def scan(docs: DataFrame, frequencies: dict[str, int], text: str = "text") -> Da
         full = F.filter(first, lambda h: reduce(lambda a, b: a & b, [_is(words, h["p"] + j, x) for j, x in enumerate(parts) if j]))
         return F.transform(full, lambda h: h["p"])
 
-    def coverage(words: Column, hits: Column, label: str) -> Column:
+    def coverage(words: Column, anchors: Column, label: str) -> Column:
         """Largest share of the template over the verified offsets; null without any."""
         parts = template_words(TEMPLATES[label])
 
         def offsets_of(word: str, at: int) -> Column:
-            return F.transform(F.filter(hits, lambda h: h["w"] == word), lambda h: h["p"] - at)
+            return F.transform(F.filter(anchors, lambda h: h["w"] == word), lambda h: h["p"] - at)
 
         def verified(offset: Column) -> Column:
             return reduce(lambda a, b: a & b, [_is(words, offset + j, w) for j, (w, key) in enumerate(parts) if key])
@@ -122,40 +125,52 @@ def scan(docs: DataFrame, frequencies: dict[str, int], text: str = "text") -> Da
 
         def voted(offsets: Column) -> Column:
             """Sorted offsets to those that stand there often enough."""
-            return F.array_distinct(F.filter(offsets, lambda o, i: (o >= 0) & (F.get(offsets, i + (min(VOTES, len(index[label])) - 1)) == o)))
+            return F.array_distinct(F.filter(offsets, lambda o, i: (o >= 0) & (F.get(offsets, i + (VOTES - 1)) == o)))
 
-        return F.array_max(F.transform(F.filter(_let(F.array_sort(F.concat(*(offsets_of(w, at) for w, at in index[label]))), voted), verified), share))
+        offsets = F.array_sort(F.concat(*(offsets_of(w, at) for at, (w, _) in enumerate(parts))))
+        return F.array_max(F.transform(F.filter(_let(offsets, voted), verified), share))
+
+    def found(label: str, share: Column) -> Column:
+        return F.when(share.isNotNull(), F.struct(F.lit(label).alias("label"), share.alias("share")))
 
-    def of_hits(words: Column, hits: Column) -> Column:
+    def method(words: Column, present: Column, hits: Column, label: str) -> Column:
+        # no offset can be verified in a text that lacks a key word
+        share = _let(coverage(words, hits, label), lambda c: found(label, c))
+        return F.when(has_all(present, key_words(label)), share)
+
+    def of_hits(words: Column, present: Column, hits: Column, anchors: Column) -> Column:
         base = [(label, places(words, hits, phrase)) for phrase, label in PHRASES.items()]
         return F.struct(
             F.array_sort(F.concat(*(x for _, x in base))).alias("places"),
             F.array_compact(F.array(*(F.when(F.size(x) > 0, F.lit(label)) for label, x in base))).alias("base"),
-            F.array_compact(F.array(*(_let(coverage(words, hits, label), lambda c: _found(c, label)) for label in TEMPLATES))).alias("found"),
+            F.array_compact(F.array(*(method(words, present, anchors, label) for label in TEMPLATES))).alias("found"),
         )
 
-    def _found(share: Column, label: str) -> Column:
-        return F.when(share.isNotNull(), F.struct(F.lit(label).alias("label"), share.alias("share")))
+    def of_present(words: Column, present: Column) -> Column:
+        rarest = F.slice(F.filter(F.array(*map(F.lit, ranked)), lambda w: F.array_contains(present, w)), 1, RARE)
+
+        def of_rarest(rare: Column) -> Column:
+            marked = F.transform(words, lambda x, i: F.when(F.array_contains(rare, x) | x.isin(phrase_words), F.struct(x.alias("w"), i.alias("p"))))
+            return _let(F.array_compact(marked), lambda hits: _let(F.filter(hits, lambda h: F.array_contains(rare, h["w"])), lambda anchors: of_hits(words, present, hits, anchors)))
+
+        needed = [p.split() for p in PHRASES] + [key_words(label) for label in TEMPLATES]
+        return F.when(reduce(lambda a, b: a | b, [has_all(present, n) for n in needed]), _let(rarest, of_rarest))
 
     def of_words(words: Column) -> Column:
-        marked = F.transform(words, lambda x, i: F.when(x.isin(vocabulary), F.struct(x.alias("w"), i.alias("p"))))
-        some = _let(F.array_compact(marked), lambda hits: of_hits(words, hits))
-        return F.struct(F.size(words).cast("bigint").alias("n"), F.when(F.size(_present(words, vocabulary)) > 0, some).alias("of"))
+        return F.struct(F.size(words).cast("bigint").alias("n"), _let(_present(words, ranked), lambda present: of_present(words, present)).alias("of"))
 
-    # both labels come from fixed lists, so a row's result is small whatever its text
     made = docs.withColumn("__scan", _let(_words(text), of_words))
     s = F.col("__scan")
-    places_found, base, found = s["of"]["places"], F.coalesce(s["of"]["base"], F.array().cast("array<string>")), s["of"]["found"]
     none = F.array().cast("array<string>")
-    methods = F.coalesce(F.transform(found, lambda x: x["label"]), none)
-    best = F.array_max(F.transform(found, lambda x: x["share"]))
+    places_found, base, methods = s["of"]["places"], F.coalesce(s["of"]["base"], none), s["of"]["found"]
+    best = F.array_max(F.transform(methods, lambda x: x["share"]))
     return made.withColumns({
         "n_words": s["n"],
         "n_base": F.coalesce(F.size(places_found), F.lit(0)).cast("bigint"),
         "first_word": F.array_min(places_found).cast("bigint"),
         "last_word": F.array_max(places_found).cast("bigint"),
         "base_labels": F.array_join(F.array_sort(F.array_distinct(base)), ","),
-        "labels": F.array_join(F.array_sort(F.array_distinct(F.concat(base, methods))), ","),
+        "labels": F.array_join(F.array_sort(F.array_distinct(F.concat(base, F.coalesce(F.transform(methods, lambda x: x["label"]), none)))), ","),
         "score": F.coalesce(best, F.when(F.size(base) > 0, 0.5), F.lit(0.0)),
     }).drop("__scan")
 
@@ -176,10 +191,10 @@ lists AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDE
 words AS (SELECT doc_id, unnest(range(0, len(ws))) AS p, unnest(ws) AS w FROM lists),
 frequency AS (SELECT w AS word, count(DISTINCT doc_id) AS df FROM words WHERE w IN (SELECT word FROM template) GROUP BY w),
 rare AS (
-    SELECT label, pos, word FROM template LEFT JOIN frequency USING (word)
-    QUALIFY row_number() OVER (PARTITION BY label ORDER BY coalesce(df, 0), pos) <= {RARE}),
+    SELECT doc_id, word FROM (SELECT DISTINCT doc_id, w AS word FROM words WHERE w IN (SELECT word FROM template)) JOIN frequency USING (word)
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, word) <= {RARE}),
 voted AS (
-    SELECT doc_id, label, o FROM (SELECT doc_id, label, p - pos AS o FROM words JOIN rare ON w = word)
+    SELECT doc_id, label, o FROM (SELECT doc_id, label, p - pos AS o FROM words JOIN rare r USING (doc_id) JOIN template t ON t.word = r.word WHERE w = r.word)
     WHERE o >= 0 GROUP BY doc_id, label, o HAVING count(*) >= {VOTES}),
 verified AS (
     SELECT v.doc_id, v.label, o, count(w.w)::DOUBLE / count(*) AS share, bool_and(w.w IS NOT NULL OR NOT key) AS ok
