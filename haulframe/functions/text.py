@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The registration pattern and the limits that callers rely on.
+# The registration pattern, what may be uploaded, and the limits that callers rely on.
+UPLOADS = (".pdf", ".jpg", ".jpeg", ".png", ".webp", ".docx", ".xlsx")
 REGISTRATION = r"[A-Z]{2}\s?\d{1,2}\s?[A-Z]{1,3}\s?\d{4}"
 REGISTRATION_LENGTH = (8, 11)
 TEXT_LIMIT = 10_000

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.functions import text
+from haulframe.functions.text import UPLOADS
 from haulframe.operators import validation as v
 from haulframe.schemas import TABLES, evolve, with_defaults
 
@@ -159,6 +160,26 @@ def _rules_by_column(table: str) -> list[tuple[str, v.Rule]]:
     return [(r[2].split()[0], r) for r in v.field_rules(table)]
 
 
+def upload_documents(batch: DataFrame, existing: DataFrame, now: datetime, actor: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New document rows for files that have landed, rejected ones and audit rows.
+
+    batch: seq, id, filename, content_type, document_type, token (a UUID that the caller draws). A file whose
+    suffix is not on the allow-list is 415. The object key says where the file belongs; storing the bytes
+    is the landing job's, and nothing here builds a path to be opened.
+    """
+    keyed = batch.withColumns({
+        "document_type": F.upper("document_type"), "owner_id": F.lit(actor), "status": F.lit("UPLOADED"),
+        "object_key": text.object_key(F.lit(actor), F.lit(now), F.col("token"), F.col("filename")),
+    })
+    made = v.add_errors(evolve_batch(keyed, "documents"), [
+        (~text.suffix(F.col("filename")).isin(*UPLOADS) | F.col("filename").isNull(), v.UNSUPPORTED, "file type is not supported"), *(v.required(c) for c in TABLES["documents"].required),
+    ])
+    made = v.unique(made, "object_key", existing, "seq", "object_key already exists")
+    good = made.where("error_code IS NULL")
+    rows = evolve(good.withColumn("created_at", F.lit(now)), TABLES["documents"])
+    return rows, made.where("error_code IS NOT NULL"), audit(rows, actor, "UPLOAD", "documents", now)
+
+
 def delete(base: DataFrame, ids: DataFrame, table: str, now: datetime, actor: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The snapshot without the rows, the ids that name none, and audit rows. Rows that refer to them stay."""
     keys = ids.select("id").distinct()

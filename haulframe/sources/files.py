@@ -18,10 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulframe.functions.text import suffix
+from haulframe.functions.text import UPLOADS, suffix
 
-# What may be uploaded, and how much of a spreadsheet is previewed.
-SUFFIXES = (".pdf", ".jpg", ".jpeg", ".png", ".webp", ".docx", ".xlsx")
+# Which files are images, and how much of a spreadsheet is previewed.
 IMAGES = (".jpg", ".jpeg", ".png", ".webp")
 PREVIEW_ROWS, PREVIEW_COLUMNS = 100, 20
 PDF_RENDER_SCALE = 2
@@ -37,7 +36,7 @@ Ocr = Callable[[object], str]
 
 
 def supported(filename: Column) -> Column:
-    return suffix(filename).isin(*SUFFIXES)
+    return suffix(filename).isin(*UPLOADS)
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:

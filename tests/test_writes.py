@@ -158,3 +158,20 @@ def test_documents_flow(spark):
     moved, log, missing = workflow.confirm(moved, reviews, NOW, "u")
     assert {r["id"]: (r["status"], r["extracted_fields"]) for r in moved.collect()}["1"] == ("CONFIRMED", '{"a":1}')
     assert log.count() == 1 and codes(missing) == {3: 404}
+
+
+def test_upload(spark):
+    asked = spark.createDataFrame([(1, "a", "A.PDF", "application/pdf", "invoice", "0123abcd-9"), (2, "b", "x.exe", "x", "invoice", "t"), (3, "c", None, "x", "invoice", "t"), (4, "d", "noext", "x", "invoice", "t")], "seq int, id string, filename string, content_type string, document_type string, token string")
+    rows, rejected, log = changes.upload_documents(asked, frame(spark, "documents", []), NOW, "u")
+    got = rows.collect()
+    assert [(r["id"], r["document_type"], r["status"], r["owner_id"], r["object_key"]) for r in got] == [("a", "INVOICE", "UPLOADED", "u", "u/20240501000000_0123abcd_A.PDF")]
+    assert codes(rejected) == {2: 415, 3: 415, 4: 415} and [(r["action"], r["resource_id"]) for r in log.collect()] == [("UPLOAD", "a")]
+
+
+def test_expiring(spark):
+    from haulframe.operators import compliance
+
+    cars = frame(spark, "vehicles", [{"id": "1", "rc_expiry": date(2024, 5, 10), "insurance_expiry": date(2024, 4, 1)}, {"id": "2", "rc_expiry": date(2025, 1, 1)}])
+    people = frame(spark, "drivers", [{"id": "3", "license_expiry": date(2024, 5, 1)}, {"id": "4"}])
+    got = sorted((r["resource_id"], r["paper"], r["days_left"]) for r in compliance.expiring(cars, people, F.lit("2024-05-01").cast("date"), 30).collect())
+    assert got == [("1", "insurance_expiry", -30), ("1", "rc_expiry", 9), ("3", "license_expiry", 0)]
