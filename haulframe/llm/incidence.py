@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-from haulframe.llm.tokens import mix
 
 PACKED = "bucket int, hashes binary, owners binary, more_hashes binary, more_owners binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("more_hashes", pa.binary()), ("more_owners", pa.binary())])
@@ -41,8 +42,17 @@ def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), kind)
 
 
+# Two primes scatter ids that share a divisor with the number of buckets.
+_FIRST, _FACTOR, _SECOND = 1_000_003, 7_919, 1_048_573
+
+
 def bucket_of(owners: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(owners.view(np.uint64)) >> np.uint64(64 - int(buckets).bit_length() + 1)).astype(np.int32)
+    return (owners % _FIRST * _FACTOR % _SECOND % buckets).astype(np.int32)
+
+
+def bucket_column(owner: Column, buckets: int) -> Column:
+    """The same as a column expression."""
+    return (F.pmod(owner, F.lit(_FIRST)) * _FACTOR % _SECOND % buckets).cast("int")
 
 
 def by_owner(owners: np.ndarray, hashes: np.ndarray, counts: np.ndarray | None, buckets: int) -> pa.Table:

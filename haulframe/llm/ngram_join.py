@@ -126,15 +126,6 @@ def _shared(table: pa.Table, buckets: int) -> pa.Table:
     return incidence.by_owner(rows[shared], hashes[shared], counts[shared], buckets)
 
 
-def _with_bucket(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tokens.frugal(batches):
-            to = pa.array(incidence.bucket_of(batch.column(0).to_numpy(), buckets))
-            yield pa.RecordBatch.from_arrays([*batch.columns, to], names=["row", "n", "bucket"])
-
-    return run
-
-
 _ROWS = "row bigint, n int, lone int, prefix int, columns array<bigint>"
 _ROWS_ARROW = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("lone", pa.int32()), ("prefix", pa.int32()), ("columns", pa.list_(pa.int64()))])
 
@@ -163,7 +154,7 @@ def candidate_rows(docs: DataFrame, signed: DataFrame, text: str, k: int, percen
     buckets = bucket_count(docs, text)
     packed = docs.select(F.col(text).alias("t")).mapInArrow(_columns_of_rows(k, buckets), incidence.PACKED)
     shared = packed.groupBy("bucket").applyInArrow(_shared_columns(buckets), incidence.OWNED)
-    sizes = signed.where("row is not null").groupBy("row").agg(F.max("n_shingles").alias("n")).mapInArrow(_with_bucket(buckets), "row bigint, n bigint, bucket int")
+    sizes = signed.where("row is not null").groupBy("row").agg(F.max("n_shingles").alias("n")).withColumn("bucket", incidence.bucket_column(F.col("row"), buckets))
     return shared.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(_rare_first(percent), _ROWS)
 
 

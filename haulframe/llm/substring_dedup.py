@@ -85,58 +85,52 @@ def _count(table: pa.Table, buckets: int) -> pa.Table:
     return incidence.by_owner(np.concatenate((ids[lost], more_ids)), np.concatenate((hashes[lost], more_hashes)), None, buckets)
 
 
-_LOST = "owner bigint, lost_hashes binary"
-
-
-def _lost_of_documents(table: pa.Table) -> pa.Table:
-    owners, hashes, _, begins = incidence.owned(table)
-    lists = [hashes[i:j].tobytes() for i, j in zip(begins[:-1], begins[1:])]
-    return pa.table([pa.array(owners[begins[:-1]], pa.int64()), pa.array(lists, pa.binary())], names=["owner", "lost_hashes"])
-
-
-def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
-    """owner (a doc_id) and lost_hashes (binary: packed hashes) of the windows that a smaller doc_id also has."""
+def repeated_windows(docs: DataFrame, buckets: int, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
+    """The windows that a smaller doc_id also has, packed by buckets of the documents that lose them (see incidence.OWNED)."""
     known = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t"))
-    buckets = bucket_count(docs, text)
     packed = known.mapInArrow(_hash_windows(width, buckets), incidence.PACKED)
-    lost = packed.groupBy("bucket").applyInArrow(_count_bucket(buckets), incidence.OWNED)
-    return lost.groupBy("bucket").applyInArrow(_lost_of_documents, _LOST)
-
-
-def _cut(text_at: int, lost_at: int, width: int, schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in tokens.frugal(batches):
-            offsets, _ = tokens.text_buffers(whole.column(text_at))
-            for i, j in tokens.spans(offsets, 4 * tokens.SLICE_BYTES):
-                batch = whole.slice(i, j - i)
-                texts, n_words, n_removed = [], [], []
-                lost = batch.column(lost_at)
-                for part in tokens.slices(batch.column(text_at)):
-                    hashes, at = part.windows(part.word_hashes(), width)
-                    window_bounds = np.searchsorted(at, part.word_bounds)
-                    change = np.zeros(len(part.starts) + 1, np.int32)
-                    for doc in range(part.n):
-                        mine = lost[part.first + doc].as_py()
-                        if mine:
-                            a, b = window_bounds[doc], window_bounds[doc + 1]
-                            hit = at[a:b][np.isin(hashes[a:b], np.frombuffer(mine, np.uint64))]
-                            np.add.at(change, hit, 1)
-                            np.add.at(change, hit + width, -1)
-                    keep = np.cumsum(change[:-1]) == 0
-                    starts, lengths = part.starts[keep], (part.ends - part.starts)[keep]
-                    kept_words = np.concatenate(([0], np.cumsum(keep)))[part.word_bounds]
-                    # each kept word and one space after it; the last space of a document goes
-                    flat = np.full(int(lengths.sum()) + len(lengths), 0x20, np.uint8)
-                    to = np.concatenate(([0], np.cumsum(lengths + 1)))
-                    flat[tokens.ragged(to[:-1], lengths)] = part.data[tokens.ragged(starts, lengths)]
-                    for doc in range(part.n):
-                        a, b = to[kept_words[doc]], to[kept_words[doc + 1]]
-                        texts.append(flat[a : max(a, b - 1)].tobytes().decode("utf-8", "replace"))
-                    n_words.append(np.diff(part.word_bounds))
-                    n_removed.append(np.diff(part.word_bounds) - np.diff(kept_words))
-                none = np.zeros(0, np.int64)
-                columns = [batch.column(k) for k in range(lost_at)] + [pa.array(texts, pa.string()), pa.array(np.concatenate([none, *n_words]), pa.int64()), pa.array(np.concatenate([none, *n_removed]), pa.int64())]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+    return packed.groupBy("bucket").applyInArrow(_count_bucket(buckets), incidence.OWNED)
+
+
+def _cut(batch: pa.RecordBatch, text_at: int, id_at: int, lost: dict[int, np.ndarray], width: int) -> tuple[list, list, list]:
+    """Kept texts, numbers of words and of removed words of a batch; lost has the hashes that each document loses."""
+    texts, n_words, n_removed = [], [], []
+    ids = batch.column(id_at)
+    for part in tokens.slices(batch.column(text_at)):
+        hashes, at = part.windows(part.word_hashes(), width)
+        window_bounds = np.searchsorted(at, part.word_bounds)
+        change = np.zeros(len(part.starts) + 1, np.int32)
+        for doc in range(part.n):
+            mine = lost.get(ids[part.first + doc].as_py())
+            if mine is not None:
+                a, b = window_bounds[doc], window_bounds[doc + 1]
+                hit = at[a:b][np.isin(hashes[a:b], mine)]
+                np.add.at(change, hit, 1)
+                np.add.at(change, hit + width, -1)
+        keep = np.cumsum(change[:-1]) == 0  # outside all removal intervals
+        starts, lengths = part.starts[keep], (part.ends - part.starts)[keep]
+        kept_words = np.concatenate(([0], np.cumsum(keep)))[part.word_bounds]
+        # each kept word and one space after it; the last space of a document goes
+        flat = np.full(int(lengths.sum()) + len(lengths), 0x20, np.uint8)
+        to = np.concatenate(([0], np.cumsum(lengths + 1)))
+        flat[tokens.ragged(to[:-1], lengths)] = part.data[tokens.ragged(starts, lengths)]
+        for doc in range(part.n):
+            a, b = to[kept_words[doc]], to[kept_words[doc + 1]]
+            texts.append(flat[a : max(a, b - 1)].tobytes().decode("utf-8", "replace"))
+        n_words += np.diff(part.word_bounds).tolist()
+        n_removed += (np.diff(part.word_bounds) - np.diff(kept_words)).tolist()
+    return texts, n_words, n_removed
+
+
+def _cut_bucket(text_at: int, id_at: int, width: int, schema: pa.Schema):
+    def run(docs: pa.Table, packed: pa.Table) -> pa.Table:
+        owners, hashes, _, begins = incidence.owned(packed)
+        lost = {int(owners[i]): hashes[i:j] for i, j in zip(begins[:-1], begins[1:])}
+        out = []
+        for batch in docs.to_batches():
+            made = [*batch.columns[: len(schema) - 3], *(pa.array(c) for c in _cut(batch, text_at, id_at, lost, width))]
+            out.append(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, schema)], schema=schema))
+        return pa.Table.from_batches(out, schema)
 
     return run
 
@@ -144,20 +138,22 @@ def _cut(text_at: int, lost_at: int, width: int, schema: pa.Schema):
 def remove_repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """docs with three columns more: kept_text, n_words, n_removed (names are lengthened if docs has them).
 
-    kept_text is the words that are left, joined by one space.
+    kept_text is the words that are left, joined by one space. Texts meet their lost windows bucket by
+    bucket; a bucket holds a bounded amount of text, documents without id are spread over all of them.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    lost = repeated_windows(docs, text, doc_id, width)
-    owner, hashes = free_name("owner", docs.columns), free_name("lost_hashes", docs.columns)
-    lost = lost.withColumnsRenamed({"owner": owner, "lost_hashes": hashes})
-    both = docs.join(lost, docs[doc_id].cast("bigint") == lost[owner], "left").drop(owner)
-    more = [("kept_text", T.StringType()), ("n_words", T.LongType()), ("n_removed", T.LongType())]
+    buckets = bucket_count(docs, text)
+    lost = repeated_windows(docs, buckets, text, doc_id, width)
+    bucket = free_name("bucket", docs.columns)
+    spread = F.coalesce(F.col(doc_id).cast("bigint"), F.xxhash64(text))
+    both = docs.withColumn(bucket, incidence.bucket_column(spread, buckets))
     schema = T.StructType(list(docs.schema.fields))
-    for name, kind in more:
+    for name, kind in (("kept_text", T.StringType()), ("n_words", T.LongType()), ("n_removed", T.LongType())):
         schema = schema.add(free_name(name, schema.names), kind)
-    at = [x.lower() for x in both.columns].index(text.lower())
-    return both.mapInArrow(_cut(at, len(docs.columns), width, to_arrow_schema(schema)), schema)
+    low = [x.lower() for x in docs.columns]
+    cut = _cut_bucket(low.index(text.lower()), low.index(doc_id.lower()), width, to_arrow_schema(schema))
+    return both.groupBy(bucket).cogroup(lost.groupBy("bucket")).applyInArrow(cut, schema)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
