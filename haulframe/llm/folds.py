@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,18 +13,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int, most_labels: int = 1000) -> list:
+def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int, most_labels: int = 1000, shorten: Callable[[DataFrame], DataFrame] | None = None) -> list:
     """At most per_label rows of each label, chosen by a hash of key, in a fixed order.
 
     A first pass counts the labels; a second one keeps about twice per_label rows of each, of which the
-    driver takes those with the smallest hash. What is collected is bounded by the two parameters.
+    driver takes those with the smallest hash. What is collected is bounded by the two parameters;
+    where rows may be long, shorten bounds each of them on the executors (it must keep label, key and __place).
     """
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()}
     if not counts:
         return []
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * (per_label + 10) / n)))), F.col(label))
     place = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1 << 20))
-    chosen = rows.withColumn("__place", place).where(F.col("__place") < share * (1 << 20)).collect()
+    some = rows.withColumn("__place", place).where(F.col("__place") < share * (1 << 20))
+    chosen = (shorten(some) if shorten else some).collect()
     out, taken = [], dict.fromkeys(counts, 0)
     for r in sorted(chosen, key=lambda r: (r["__place"], str(r[key]))):
         if taken[r[label]] < per_label:

@@ -3,8 +3,8 @@
 The network reads the bytes of one unit (a run of non-space bytes between two boundary bytes) in both
 directions and labels every position with a distribution over the languages. A document's
 probabilities are the mean over its letter positions. Training is backpropagation through time in
-numpy on a bounded sample: at most ``DOCS_PER_LANGUAGE`` labelled documents and ``WORDS_PER_LANGUAGE``
-units of each language. Prediction reads whole texts; as the state starts anew with every unit, each
+numpy on a bounded sample: at most ``DOCS_PER_LANGUAGE`` labelled documents of each language with
+``WORDS_PER_DOCUMENT`` units each, and ``WORDS_PER_LANGUAGE`` of these units. Prediction reads whole texts; as the state starts anew with every unit, each
 different unit of a slice is read once and its sums serve all its occurrences.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; so is every text if
@@ -29,6 +29,7 @@ from haulframe.llm.folds import bounded_sample, held_out
 from haulframe.llm.storage import free_name
 
 DOCS_PER_LANGUAGE = 300
+WORDS_PER_DOCUMENT = 120
 WORDS_PER_LANGUAGE = 12_000
 UNIT_BYTES = 62
 HIDDEN = 16
@@ -152,17 +153,33 @@ def _units(part: tokens.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, np.minimum(np.repeat(part.ends, pieces) - starts, UNIT_BYTES), np.repeat(part.owners(), pieces)
 
 
-def fit(texts: list[str], langs: list[str], seed: int = 11, words: int = WORDS_PER_LANGUAGE, steps: int = STEPS) -> Network | None:
+def some_units(column: pa.Array, most: int) -> list[list[bytes]]:
+    """At most so many units with a letter of each text, drawn by a hash of their place."""
+    out = []
+    for part in tokens.slices(column, lower=True):
+        starts, lengths, owners = _units(part)
+        letters = np.concatenate(([0], np.cumsum(_LETTER[part.data] > 0)))
+        keep = letters[starts + lengths] > letters[starts]
+        starts, lengths, owners = starts[keep], lengths[keep], owners[keep]
+        bounds = np.searchsorted(owners, np.arange(part.n + 1))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            drawn = a + np.argsort(tokens.mix(np.arange(b - a, dtype=np.uint64)), kind="stable")[:most]
+            out.append([part.data[starts[i] : starts[i] + lengths[i]].tobytes() for i in np.sort(drawn)])
+    return out
+
+
+def fit(texts: list[str], langs: list[str], **options) -> Network | None:
+    """A network learned from whole texts."""
+    return fit_units(some_units(pa.array(texts, pa.string()), 1 << 40), langs, **options)
+
+
+def fit_units(found_units: list[list[bytes]], langs: list[str], seed: int = 11, words: int = WORDS_PER_LANGUAGE, steps: int = STEPS) -> Network | None:
     """A network trained with Adam on at most words units of each language; None without any."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
     units, labels = [], []
     for label, name in enumerate(names):
-        found: list[bytes] = []
-        for part in tokens.slices(pa.array([t for t, lang in zip(texts, langs) if lang == name], pa.string()), lower=True):
-            starts, lengths, _ = _units(part)
-            found += [part.data[a : a + n].tobytes() for a, n in zip(starts.tolist(), lengths.tolist())]
-        found = [u for u in found if _LETTER[np.frombuffer(u, np.uint8)].any()]
+        found = [u for us, lang in zip(found_units, langs) if lang == name for u in us]
         if found:
             chosen = rng.choice(len(found), min(words, len(found)), replace=False)
             units += [found[i] for i in chosen]
@@ -193,8 +210,18 @@ def fit(texts: list[str], langs: list[str], seed: int = 11, words: int = WORDS_P
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = DOCS_PER_LANGUAGE) -> Network | None:
     """A network learned from a bounded sample of the labelled documents outside the held-out fold."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
-    rows = bounded_sample(known.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")), "l", "i", per_language)
-    return fit([r["t"] for r in rows], [r["l"] for r in rows])
+    plain = known.select(F.col(doc_id).cast("bigint").alias("i"), F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))
+
+    def shorten(rows: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in tokens.frugal(batches):
+                units = pa.array(some_units(batch.column(3), WORDS_PER_DOCUMENT), pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), units], names=["i", "l", "__place", "units"])
+
+        return rows.select("i", "l", "__place", "t").mapInArrow(run, "i bigint, l string, __place bigint, units array<binary>")
+
+    rows = bounded_sample(plain, "l", "i", per_language, shorten=shorten)
+    return fit_units([[bytes(u) for u in r["units"]] for r in rows], [r["l"] for r in rows])
 
 
 def pooled(network: Network, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

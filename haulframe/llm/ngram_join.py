@@ -23,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulframe.llm import incidence, tokens
 from haulframe.llm.components import components
-from haulframe.llm.storage import bucket_count, materialise
+from haulframe.llm.storage import bucket_count, free_name, materialise
 
 SHINGLE = 3
 PERCENT = 90
@@ -209,10 +209,14 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int
     Of repeated rows (same doc_id and text) one stays.
     """
     found = cluster(docs, text, doc_id, k, percent).where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    chosen = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    marked = docs.withColumn("__hash", F.xxhash64(text)).dropDuplicates([doc_id, "__hash"])
-    same = marked[doc_id].cast("bigint").eqNullSafe(chosen["__id"]) & (marked["__hash"] == chosen["__hash"])
-    return marked.join(chosen, same, "left_semi").select(*docs.columns)
+    def key(d: str, h: str) -> Column:
+        return F.concat_ws("|", F.coalesce(F.col(d).cast("bigint").cast("string"), F.lit("none")), F.col(h))
+
+    # the semi-join and the removal of repeated rows go by one key, so the texts are shuffled once
+    name = free_name("key", docs.columns)
+    chosen = found.select(key("doc_id", "text_hash").alias(name)).distinct()
+    marked = docs.withColumn(name, F.xxhash64(text)).withColumn(name, key(doc_id, name))
+    return marked.join(chosen, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,15 +7,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 sys.path.insert(0, str(Path(__file__).parents[1]))
 
-LONG = " ".join(f"w{i}" for i in range(40_000))
-
-#: Null and empty texts, white space, one word, a very long text, a word without end, ties and repeated rows.
-TEXTS = [
-    (0, None), (1, ""), (2, " \t\n"), (3, "one"), (4, "one"), (5, LONG), (6, LONG + " end"), (7, "x" * 100_000), (8, "é ß 日本語 ▁ K"),
-    (9, "The quick brown fox jumps over the lazy dog and runs away from the old barn tonight"), (9, "The quick brown fox jumps over the lazy dog and runs away from the old barn tonight"),
-    (9, "Another text with the same id"), (None, "The quick brown fox jumps over the lazy dog and runs away from the old barn tonight"), (None, None), (10, "12345 67890 !!! ..."),
-]
-
+from plain import TEXTS  # noqa: E402
 
 @pytest.fixture(scope="session")
 def odd(spark):

@@ -3,7 +3,7 @@ import random
 
 import plain
 import pytest
-from conftest import TEXTS
+from plain import TEXTS
 
 from haulframe.llm.decontamination import MASKS, SUBSTITUTIONS, WINDOW, drop_contaminated, overlaps
 

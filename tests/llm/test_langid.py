@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import TEXTS
+from plain import TEXTS
 
 from haulframe.llm import folds, langid
 

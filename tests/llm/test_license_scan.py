@@ -1,6 +1,6 @@
 import plain
 import pytest
-from conftest import TEXTS
+from plain import TEXTS
 
 from haulframe.llm import license_scan as ls
 

@@ -2,7 +2,7 @@ import random
 
 import plain
 import pytest
-from conftest import TEXTS
+from plain import TEXTS
 
 from haulframe.llm.components import components
 from haulframe.llm.ngram_join import cluster, keep_one

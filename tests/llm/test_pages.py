@@ -4,7 +4,7 @@ import html
 import re
 
 import pytest
-from conftest import TEXTS
+from plain import TEXTS
 
 from haulframe.llm import html_extraction as he
 from haulframe.llm import url_filter as uf

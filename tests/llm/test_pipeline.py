@@ -5,7 +5,7 @@ from collections import Counter
 
 import plain
 import pytest
-from conftest import TEXTS
+from plain import TEXTS
 
 from haulframe.llm import langid
 

@@ -3,7 +3,7 @@
 import plain
 import pytest
 import numpy as np
-from conftest import TEXTS
+from plain import TEXTS
 from pyspark.sql import functions as F
 
 from haulframe.llm import quality_classifier as qc

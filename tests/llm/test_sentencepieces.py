@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import TEXTS
+from plain import TEXTS
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
