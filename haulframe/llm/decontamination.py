@@ -188,3 +188,37 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _sql() -> str:
+    """The same by seeds and diagonals in DuckDB's SQL; the masks leave no window out, so hashes don't matter."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+    def seeds(table: str, key: str) -> str:
+        parts = [f"SELECT {key}, p, {k} AS mask, concat_ws(' ', {', '.join(f'w[p + {o}]' for o in mask)}) AS seed FROM {table} WHERE p + {mask[-1]} <= len(w)" for k, mask in enumerate(MASKS)]
+        return " UNION ALL ".join(parts)
+
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+b AS (SELECT item_id, {words} AS w FROM benchmark),
+d_at AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+b_at AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS p FROM b),
+d_seeds AS ({seeds("d_at", "doc_id")}),
+b_seeds AS ({seeds("b_at", "item_id")}),
+lines AS (SELECT DISTINCT x.doc_id, y.item_id, x.p - y.p AS shift FROM d_seeds x JOIN b_seeds y USING (mask, seed)),
+places AS (
+    SELECT l.*, j, least({WINDOW}, len(b.w)) AS n, (d.w[j + shift] = b.w[j])::INTEGER AS equal
+    FROM lines l JOIN d USING (doc_id) JOIN b USING (item_id), unnest(range(1, len(b.w) + 1)) AS t(j) WHERE j + shift BETWEEN 1 AND len(d.w)),
+windows AS (
+    SELECT *, sum(equal) OVER near AS got, count(*) OVER near AS full_size FROM places
+    WINDOW near AS (PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING)),
+good AS (
+    SELECT doc_id, item_id, shift, min(j) AS a, max(j + n) AS z FROM windows
+    WHERE full_size = n AND got >= n - {SUBSTITUTIONS} * n // {WINDOW} GROUP BY ALL)
+SELECT g.doc_id, g.item_id, (a + g.shift - 1)::BIGINT AS start_word, (z - a)::BIGINT AS n_words, sum(equal)::BIGINT AS n_equal
+FROM good g JOIN places p ON p.doc_id = g.doc_id AND p.item_id = g.item_id AND p.shift = g.shift AND j >= a AND j < z
+GROUP BY g.doc_id, g.item_id, g.shift, a, z
+"""
+
+
+OP5_SQL = _sql()

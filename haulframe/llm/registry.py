@@ -29,6 +29,7 @@ def oracle_sql() -> dict[str, str]:
     pipeline = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
     return pipeline | {
         "op3_license_scan": license_scan.OP3_SQL,
+        "op5_decontamination": decontamination.OP5_SQL,
         "op6_quality_rules": quality_rules.OP6_SQL,
         "op9_ngram_join": ngram_join.OP9_SQL,
         "op10_substring_dedup": substring_dedup.OP10_SQL,
