@@ -45,18 +45,24 @@ def upcoming(deliveries: DataFrame, now: Column, n: int = UPCOMING) -> DataFrame
     return deliveries.where(F.col("scheduled_at") >= now).orderBy("scheduled_at", "id").limit(n)
 
 
-def dashboard(vendors: DataFrame, invoices: DataFrame, deliveries: DataFrame, documents: DataFrame, purchases: DataFrame, vehicles: DataFrame, drivers: DataFrame, now: datetime | Column) -> DataFrame:
-    """Seven counts and the next deliveries, as one row. now is UTC and the caller's, so that reruns agree."""
+def dashboard_counts(vendors: DataFrame, invoices: DataFrame, deliveries: DataFrame, documents: DataFrame, now: datetime | Column) -> DataFrame:
+    """The dashboard's seven counts as one row. now is UTC and the caller's, so that reruns agree."""
     at = now if isinstance(now, Column) else F.lit(now)
-    counts = (
+    return bundle(
         vendors.agg(F.count(F.lit(1)).alias("vendors"), count_where(F.col("status") == "ACTIVE", "active_vendors")),
         invoices.agg(count_where(F.col("status").isin(*PENDING_INVOICE), "pending_invoices"), count_where(overdue(at), "overdue_invoices")),
         deliveries.agg(count_where(within_a_day(at), "deliveries_today"), count_where(F.col("status").isin(*ACTIVE_DELIVERY), "active_deliveries")),
         documents.agg(count_where(F.col("status") == "REVIEW_REQUIRED", "documents_for_review")),
     )
+
+
+def dashboard(vendors: DataFrame, invoices: DataFrame, deliveries: DataFrame, documents: DataFrame, purchases: DataFrame, vehicles: DataFrame, drivers: DataFrame, now: datetime | Column) -> DataFrame:
+    """The counts and the next deliveries, as one row."""
+    at = now if isinstance(now, Column) else F.lit(now)
     listed = views.deliveries(upcoming(deliveries, at), vendors, purchases, vehicles, drivers)
     ordered = F.array_sort(F.collect_list(F.struct("scheduled_at", "id", F.struct(*listed.columns).alias("delivery"))))
-    return bundle(*counts, listed.agg(F.transform(ordered, lambda x: x["delivery"]).alias("upcoming_deliveries")))
+    counts = dashboard_counts(vendors, invoices, deliveries, documents, at)
+    return bundle(counts, listed.agg(F.transform(ordered, lambda x: x["delivery"]).alias("upcoming_deliveries")))
 
 
 def summary(vendors: DataFrame, vehicles: DataFrame, approvals: DataFrame, invoices: DataFrame, payments: DataFrame) -> DataFrame:

@@ -138,8 +138,7 @@ SELECT (SELECT count(*) FROM vendors) AS vendors, (SELECT count(*) FROM vendors
 """)
 def dashboard_counts(spark: SparkSession, d: str) -> DataFrame:
     review = f.table(spark, d, "labels").select(F.when(F.col("quality") == 0, "REVIEW_REQUIRED").otherwise("CONFIRMED").alias("status"))
-    whole = kpi.dashboard(f.vendors(spark, d), f.invoices(spark, d), f.deliveries(spark, d), review, f.purchases(spark, d), f.vehicles(spark, d), f.drivers(spark, d), f.now())
-    return whole.drop("upcoming_deliveries")
+    return kpi.dashboard_counts(f.vendors(spark, d), f.invoices(spark, d), f.deliveries(spark, d), review, f.now())
 
 
 @_register(", cut AS (SELECT deliveries.* FROM deliveries, clock WHERE scheduled_at >= now ORDER BY scheduled_at, id LIMIT 5)" + _DELIVERY_SQL.format("cut"))
