@@ -45,6 +45,7 @@ RAW = frozenset("script style textarea title noscript template iframe svg".split
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 BOILERPLATE = frozenset("nav footer aside form script style noscript template iframe svg head title button select textarea menu dialog object".split())
 BOILERPLATE_NAMES = frozenset("ad ads adbox advert adverts advertisement banner sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer header masthead comment comments disqus respond cookie cookies consent notice notices alert popup modal newsletter subscribe share sharing social related widget toolbar login signup".split())
+HEADER_NAMES = frozenset(("header", "masthead"))
 MAIN = frozenset(("article", "main"))
 _CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li td th tr dd dt".split()), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "tbody")), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
 _STOPS = frozenset(("ul", "ol", "table", "article", "main", "div", "section", "body", "td", "dl", "select"))
@@ -54,9 +55,9 @@ _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 
 
 class Element:
-    """An open element: its name, its key (name with class, id and role), and whether it or one around it is boilerplate."""
+    """An open element: its name, its role (path of names with class, id and role), whether it stands in an article, and whether it or one around it is boilerplate."""
 
-    __slots__ = ("name", "path", "depth", "dull")
+    __slots__ = ("name", "path", "depth", "main", "dull")
 
     def __init__(self, name: str, attributes: str, above: "Element | None"):
         names = [next(x for x in m[1:] if x).strip().lower() for m in _NAMED.findall(attributes) if any(m[1:])] if attributes else []
@@ -65,8 +66,10 @@ class Element:
         key = ".".join([name, *names])
         self.path = key if above is None else above.path if above.depth >= DEPTH else f"{above.path}>{key}"
         parts = {p for x in names for p in re.split(r"[\s_-]+", x)}
-        page_header = name == "header" and not (above and any(f">{m}" in f">{above.path}" for m in MAIN))
-        self.dull = bool(above and above.dull) or name in BOILERPLATE or page_header or bool(parts & BOILERPLATE_NAMES) and name not in ("html", "body", *MAIN)
+        self.main = name in MAIN or bool(above and above.main)
+        # the header of an article belongs to it
+        dull_names = BOILERPLATE_NAMES - HEADER_NAMES if self.main else BOILERPLATE_NAMES
+        self.dull = bool(above and above.dull) or name in BOILERPLATE or name == "header" and not self.main or bool(parts & dull_names) and name not in ("html", "body", *MAIN)
 
 
 def events(page: str) -> Iterator[tuple[str, Element | None, str]]:

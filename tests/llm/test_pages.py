@@ -19,7 +19,7 @@ CASES = [
     ("<p>a</p><!-- <p>no</p> --><form><input><button>no</button></form><p>b &lt;i&gt; &#233;</p>", "T & t a b <i> é"),
     ('<p>a</p><div class="comments"><p>reader</p></div><div id="cookie-notice">no</div><p>b', "T & t a b"),
     ("<p>a</p><script>if (1 < 2) no()</script><noscript>no</noscript><ul><li>x<li>y</ul>", "T & t a x y"),
-    ('<p title="a > b">t</p><header><h2>h</h2></header><div class="adverb">kept</div>', "T & t t h kept"),
+    ('<p title="a > b">t</p><header><h2>h</h2></header><div class="adverb">kept</div><div class="entry-header">too</div>', "T & t t h kept too"),
     ("", "T & t"),
 ]
 
