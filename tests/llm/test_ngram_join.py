@@ -81,3 +81,24 @@ def test_components(spark, seed):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_a_group_of_near_copies_stays_linear(spark):
+    from haulframe.llm.ngram_join import candidate_rows, links
+    from haulframe.llm.ngram_join import _SIGNED, _sign
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    docs = []
+    for i in range(500):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2])):
+            w[rng.randrange(200)] = f"n{rng.randrange(10**9)}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(6)
+    signed = df.select("doc_id", F.xxhash64("text"), "text").mapInArrow(_sign(3), _SIGNED)
+    rows = candidate_rows(df, signed, "text", 3, 90)
+    n = len({t for _, t in docs})
+    assert rows.count() == n and n - 1 <= links(rows).count() <= 2 * n
+    assert {r["component_id"] for r in cluster(df).collect()} == {0}
