@@ -7,12 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from haulframe.llm import decontamination, langid, ngram_join, sentencepieces, substring_dedup
 from haulframe.llm.storage import free_name, materialise
 
-#: Documents go whose language is not known at all, or with a mean probability under this.
-LEAST_SCORE = 0.4
+#: Documents go whose language is not known at all, or hardly better than by chance: with a mean
+#: probability under this over the number of languages. Texts in two languages stay.
+LEAST_OVER_CHANCE = 1.25
 #: The near-duplicate stage takes shingles of five words and a similarity of 0.8.
 SHINGLE, PERCENT = 5, 80
 
 
+def least_score(languages: int) -> float:
+    return min(0.5, LEAST_OVER_CHANCE / languages)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language is identified.
 
@@ -24,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs
     score, pred = free_name("score", docs.columns), free_name("lang_pred", docs.columns)
     found = langid.predict(docs, network)
-    return found.where((found[pred] != langid.UNKNOWN) & (found[score] >= LEAST_SCORE)).select(*docs.columns)
+    return found.where((found[pred] != langid.UNKNOWN) & (found[score] >= least_score(len(network.languages)))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
