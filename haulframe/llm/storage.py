@@ -14,11 +14,15 @@ BUCKET_TEXT_BYTES = 16 << 20
 def materialise(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the cluster's checkpoint folder, so that lost executors cost no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests, a laptop) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``; only where none is set, and Spark runs on this
+    machine alone (tests, a laptop), a temporary one is made.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="haulframe-checkpoint-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="haulframe-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

@@ -60,7 +60,7 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
 
 try:
     _trim = ctypes.CDLL(None).malloc_trim
-except (OSError, AttributeError):  # another C library
+except (OSError, AttributeError, TypeError):  # another C library
     _trim = None
 
 
