@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 from haulframe.llm import decontamination, html_extraction, langid, license_scan, ngram_join, quality_classifier, quality_rules, sentencepieces, substring_dedup, url_filter
+from haulframe.llm.storage import small_batches
+
+
+def _small_batches(run):
+    @wraps(run)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return run(spark, sf_dir)
+
+    return query
 
 
 def queries() -> dict:
     import corpus_pipeline
 
-    return {
+    every = {
         "pipeline": corpus_pipeline.run,
         "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op2_sentencepieces": sentencepieces.op2_sentencepieces,
@@ -21,6 +35,7 @@ def queries() -> dict:
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
+    return {name: _small_batches(run) for name, run in every.items()}
 
 
 def oracle_sql() -> dict[str, str]:

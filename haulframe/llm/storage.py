@@ -4,13 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that one hash bucket stands for; a task of the counting step holds one bucket at a time.
 BUCKET_TEXT_BYTES = 16 << 20
 
 
+#: Arrow batches of the registered queries; Spark's own limit of 64 MB is held several times over in each worker and in the JVM.
+ARROW_BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of bytes in an Arrow batch; what is computed stays the same."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int("".join(c for c in spark.conf.get(key) if c.isdigit())) > ARROW_BATCH_BYTES:
+        spark.conf.set(key, str(ARROW_BATCH_BYTES))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the cluster's checkpoint folder, so that lost executors cost no recomputation.
 
