@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from haulframe.llm import decontamination, langid, ngram_join, sentencepieces, substring_dedup
-from haulframe.llm.storage import free_name, materialise
+from haulframe.llm.storage import free_name, materialise, small_batches
 
 #: Documents go whose language is not known at all, or hardly better than by chance: with a mean
 #: probability under this over the number of languages. Texts in two languages stay.
@@ -24,6 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The network learns from the documents' own labels outside the held-out fold. Null texts and texts
     without a letter go, and texts that fit no learned language; if nothing can be learned, all stay.
     """
+    small_batches(spark)
     network = langid.train(docs)
     if network is None:
         return docs
@@ -34,6 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group of near duplicates."""
+    small_batches(spark)
     return ngram_join.keep_one(docs, k=SHINGLE, percent=PERCENT)
 
 
@@ -43,6 +45,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A text that loses nothing stays as it is; one that loses words keeps the rest, joined by one
     space, and its n_chars, where documents have that column, is counted anew. Documents of which nothing is left go; those that came without words stay.
     """
+    small_batches(spark)
     done = substring_dedup.remove_repeated(docs)
     kept, words, removed = (free_name(n, docs.columns) for n in ("kept_text", "n_words", "n_removed"))
     left = done.where((done[removed] == 0) | (done[removed] < done[words]))
@@ -52,11 +55,13 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that overlap with no item of the benchmark."""
+    small_batches(spark)
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with piece_ids and lossless (whether decoding the ids gives the text)."""
+    small_batches(spark)
     return sentencepieces.round_trip(docs, sentencepieces.Model.load())
 
 
