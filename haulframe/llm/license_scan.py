@@ -1,10 +1,10 @@
 """License scans with a positional rare-token index, in DataFrame functions only.
 
-The index holds every template word with its positions. Of a document's licence words the ``RARE`` ones
-of highest inverse document frequency over the whole corpus are looked up, and each vote goes to
-(template, offset): the word's position minus its position in the template. An offset with ``VOTES``
-votes is verified: every word of the template's mandatory key phrases must stand at its place. Plain
-phrases are counted besides.
+The index holds of every template the ``VOTES`` key words of highest inverse document frequency over the
+whole corpus, with their positions. Each of their places in a document votes for (template, offset): the
+word's position minus its position in the template. An offset with ``VOTES`` votes is verified: every word
+of the template's mandatory key phrases must stand at its place. As the index words are mandatory ones, no
+offset that can be verified lacks votes, whatever else the document holds. Plain phrases are counted besides.
 One pass counts the document frequencies of the template words (a table of their size), a second one
 scans; both work inside the row, so no group of documents is ever gathered.
 
@@ -22,6 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bound of the look-up in ``OP3_SQL`` only; ``scan`` has none.
 RARE = 16
 VOTES = 2
 
@@ -104,18 +105,28 @@ def scan(docs: DataFrame, frequencies: dict[str, int], text: str = "text") -> Da
     def key_words(label: str) -> list[str]:
         return [w for w, key in template_words(TEMPLATES[label]) if key]
 
+    def index_words(label: str) -> dict[str, int]:
+        """The template's rarest different key words, each with its first place within the key phrases."""
+        first: dict[str, int] = {}
+        for at, (w, key) in enumerate(template_words(TEMPLATES[label])):
+            if key:
+                first.setdefault(w, at)
+        return dict(sorted(first.items(), key=lambda x: ranked.index(x[0]))[:VOTES])
+
+    marked_words = sorted({w for label in TEMPLATES for w in index_words(label)} | set(phrase_words))
+
     def places(words: Column, hits: Column, phrase: str) -> Column:
         parts = phrase.split()
         first = F.filter(hits, lambda h: h["w"] == parts[0])
         full = F.filter(first, lambda h: reduce(lambda a, b: a & b, [_is(words, h["p"] + j, x) for j, x in enumerate(parts) if j]))
         return F.transform(full, lambda h: h["p"])
 
-    def coverage(words: Column, anchors: Column, label: str) -> Column:
+    def coverage(words: Column, hits: Column, label: str) -> Column:
         """Largest share of the template over the verified offsets; null without any."""
         parts = template_words(TEMPLATES[label])
 
         def offsets_of(word: str, at: int) -> Column:
-            return F.transform(F.filter(anchors, lambda h: h["w"] == word), lambda h: h["p"] - at)
+            return F.transform(F.filter(hits, lambda h: h["w"] == word), lambda h: h["p"] - at)
 
         def verified(offset: Column) -> Column:
             return reduce(lambda a, b: a & b, [_is(words, offset + j, w) for j, (w, key) in enumerate(parts) if key])
@@ -127,7 +138,7 @@ def scan(docs: DataFrame, frequencies: dict[str, int], text: str = "text") -> Da
             """Sorted offsets to those that stand there often enough."""
             return F.array_distinct(F.filter(offsets, lambda o, i: (o >= 0) & (F.get(offsets, i + (VOTES - 1)) == o)))
 
-        offsets = F.array_sort(F.concat(*(offsets_of(w, at) for at, (w, _) in enumerate(parts))))
+        offsets = F.array_sort(F.concat(*(offsets_of(w, at) for w, at in index_words(label).items())))
         return F.array_max(F.transform(F.filter(_let(offsets, voted), verified), share))
 
     def found(label: str, share: Column) -> Column:
@@ -138,23 +149,18 @@ def scan(docs: DataFrame, frequencies: dict[str, int], text: str = "text") -> Da
         share = _let(coverage(words, hits, label), lambda c: found(label, c))
         return F.when(has_all(present, key_words(label)), share)
 
-    def of_hits(words: Column, present: Column, hits: Column, anchors: Column) -> Column:
+    def of_hits(words: Column, present: Column, hits: Column) -> Column:
         base = [(label, places(words, hits, phrase)) for phrase, label in PHRASES.items()]
         return F.struct(
             F.array_sort(F.concat(*(x for _, x in base))).alias("places"),
             F.array_compact(F.array(*(F.when(F.size(x) > 0, F.lit(label)) for label, x in base))).alias("base"),
-            F.array_compact(F.array(*(method(words, present, anchors, label) for label in TEMPLATES))).alias("found"),
+            F.array_compact(F.array(*(method(words, present, hits, label) for label in TEMPLATES))).alias("found"),
         )
 
     def of_present(words: Column, present: Column) -> Column:
-        rarest = F.slice(F.filter(F.array(*map(F.lit, ranked)), lambda w: F.array_contains(present, w)), 1, RARE)
-
-        def of_rarest(rare: Column) -> Column:
-            marked = F.transform(words, lambda x, i: F.when(F.array_contains(rare, x) | x.isin(phrase_words), F.struct(x.alias("w"), i.alias("p"))))
-            return _let(F.array_compact(marked), lambda hits: _let(F.filter(hits, lambda h: F.array_contains(rare, h["w"])), lambda anchors: of_hits(words, present, hits, anchors)))
-
+        marked = F.transform(words, lambda x, i: F.when(x.isin(marked_words), F.struct(x.alias("w"), i.alias("p"))))
         needed = [p.split() for p in PHRASES] + [key_words(label) for label in TEMPLATES]
-        return F.when(reduce(lambda a, b: a | b, [has_all(present, n) for n in needed]), _let(rarest, of_rarest))
+        return F.when(reduce(lambda a, b: a | b, [has_all(present, n) for n in needed]), _let(F.array_compact(marked), lambda hits: of_hits(words, present, hits)))
 
     def of_words(words: Column) -> Column:
         return F.struct(F.size(words).cast("bigint").alias("n"), _let(_present(words, ranked), lambda present: of_present(words, present)).alias("of"))

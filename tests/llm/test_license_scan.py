@@ -45,3 +45,11 @@ def test_every_template_finds_itself(spark, label):
     docs = spark.createDataFrame([(f"some words before; {text} and after",)], "text string")
     row = ls.scan(docs, ls.document_frequencies(docs)).head()
     assert label in row["labels"].split(",") and row["score"] == 1
+
+
+def test_text_that_holds_all_notices_gets_all_labels(spark):
+    notices = [" ".join(w for w, _ in ls.template_words(t)) for t in ls.TEMPLATES.values()]
+    others = [(" ".join(notices[i:] + notices[:i]),) for i in range(0, len(notices), 5)]
+    docs = spark.createDataFrame([("start; " + "; then ".join(notices),), *others], "text string")
+    for row in ls.scan(docs, ls.document_frequencies(docs)).collect():
+        assert set(row["labels"].split(",")) >= set(ls.TEMPLATES) and row["score"] == 1
