@@ -4,7 +4,8 @@ The index holds of every template the ``VOTES`` key words of highest inverse doc
 whole corpus, with their positions. Each of their places in a document votes for (template, offset): the
 word's position minus its position in the template. An offset with ``VOTES`` votes is verified: every word
 of the template's mandatory key phrases must stand at its place. As the index words are mandatory ones, no
-offset that can be verified lacks votes, whatever else the document holds. Plain phrases are counted besides.
+offset that can be verified lacks votes, whatever else the document holds. Optional words before the key
+phrases may lie before the text's first word. Plain phrases are counted besides.
 One pass counts the document frequencies of the template words (a table of their size), a second one
 scans; both work inside the row, so no group of documents is ever gathered.
 
@@ -22,7 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bound of the look-up in ``OP3_SQL`` only; ``scan`` has none.
+#: Bound of the look-up in ``OP3_SQL`` only; ``scan`` has none. That SQL also passes over templates that would begin
+#: before the text's first word. On texts with either, ``scan`` finds more; else both are equal.
 RARE = 16
 VOTES = 2
 
@@ -135,8 +137,8 @@ def scan(docs: DataFrame, frequencies: dict[str, int], text: str = "text") -> Da
             return reduce(lambda a, b: a + b, [_is(words, offset + j, w).cast("int") for j, (w, _) in enumerate(parts)]) / len(parts)
 
         def voted(offsets: Column) -> Column:
-            """Sorted offsets to those that stand there often enough."""
-            return F.array_distinct(F.filter(offsets, lambda o, i: (o >= 0) & (F.get(offsets, i + (VOTES - 1)) == o)))
+            """Sorted offsets to those that stand there often enough. One before the text's first word only lacks optional words."""
+            return F.array_distinct(F.filter(offsets, lambda o, i: F.get(offsets, i + (VOTES - 1)) == o))
 
         offsets = F.array_sort(F.concat(*(offsets_of(w, at) for w, at in index_words(label).items())))
         return F.array_max(F.transform(F.filter(_let(offsets, voted), verified), share))

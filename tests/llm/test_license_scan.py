@@ -53,3 +53,15 @@ def test_text_that_holds_all_notices_gets_all_labels(spark):
     docs = spark.createDataFrame([("start; " + "; then ".join(notices),), *others], "text string")
     for row in ls.scan(docs, ls.document_frequencies(docs)).collect():
         assert set(row["labels"].split(",")) >= set(ls.TEMPLATES) and row["score"] == 1
+
+
+def test_text_that_begins_with_the_key_phrase(spark):
+    docs = []
+    for label, t in sorted(ls.TEMPLATES.items()):
+        parts = ls.template_words(t)
+        first = [key for _, key in parts].index(True)
+        docs.append((label, " ".join(w for w, _ in parts[first:]), (len(parts) - first) / len(parts)))
+    docs.append(("", "license version 2 0", 0.0))
+    docs = spark.createDataFrame(docs, "want string, text string, share double")
+    for row in ls.scan(docs, ls.document_frequencies(docs)).collect():
+        assert row["want"] in row["labels"].split(",") and abs(row["score"] - row["share"]) < 1e-9, row["want"]
