@@ -5,8 +5,8 @@ in every page have the same occurrence vector and form an equivalence class; lar
 classes are the template, nested by their paths, and what lies between their tokens are its slots.
 The vectors are never gathered: each page adds a hash of its count to the token's signature by
 exclusive or, so a host of any size is aggregated in parts. The main slot is the template's article
-element, or else the slot whose elements hold most of the text that isn't boilerplate. Everything in
-it is extracted but nested menus, headers of the page, footers, sidebars, notices, adverts, forms,
+element. On hosts without one no share of the text tells which container is the article (paragraphs, or the
+larger of two parts, may hold most of it), so there all of the body is the slot. Everything in it is extracted but nested menus, headers of the page, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments.
 
 Defined results: null or empty html gives an empty text; a page without the template's main slot is
@@ -34,8 +34,6 @@ DEPTH = 64
 #: A class is frequent if its tokens occur in this share of a host's pages, and large with so many tokens.
 SUPPORT = 0.5
 LEAST_TOKENS = 2
-#: The main slot without an article element holds this share of the text that isn't boilerplate.
-MAIN_SHARE = 0.6
 #: Templates of this size together are broadcast; larger ones are joined by host.
 BROADCAST_BYTES = 8 << 20
 
@@ -118,18 +116,15 @@ def events(page: str) -> Iterator[tuple[str, Element | None, str]]:
         yield "end", stack.pop(), ""
 
 
-def tokens_of(page: str) -> tuple[Counter, dict[str, int], Counter]:
-    """Occurrences of each token, the place of its first one, and the characters of text directly in each path that isn't boilerplate."""
-    counts, places, mass = Counter(), {}, Counter()
-    for kind, element, text in events(page):
-        if kind == "text":
-            if element is not None and not element.dull:
-                mass[element.path] += len(" ".join(text.split()))
-        else:
+def tokens_of(page: str) -> tuple[Counter, dict[str, int]]:
+    """Occurrences of each token and the place of its first one."""
+    counts, places = Counter(), {}
+    for kind, element, _ in events(page):
+        if kind != "text":
             token = ("<" if kind == "start" else "/") + element.path
             counts[token] += 1
             places.setdefault(token, len(places))
-    return counts, places, mass
+    return counts, places
 
 
 def extract(page: str | None, slots: set[str] | None) -> str:
@@ -173,8 +168,8 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^.*?://([^/?#]*)", 1))
 
 
-_COUNTED = "host string, token string, vector bigint, pages bigint, occurrences bigint, place double, mass double"
-_COUNTED_ARROW = pa.schema([("host", pa.string()), ("token", pa.string()), ("vector", pa.int64()), ("pages", pa.int64()), ("occurrences", pa.int64()), ("place", pa.float64()), ("mass", pa.float64())])
+_COUNTED = "host string, token string, vector bigint, pages bigint, occurrences bigint, place double"
+_COUNTED_ARROW = pa.schema([("host", pa.string()), ("token", pa.string()), ("vector", pa.int64()), ("pages", pa.int64()), ("occurrences", pa.int64()), ("place", pa.float64())])
 
 
 def _mixed(key: int, count: int) -> int:
@@ -190,47 +185,36 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in frugal(batches):
         held: dict[tuple[str, str], list] = {}
         for host, key, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            counts, places, mass = tokens_of(page or "")
+            counts, places = tokens_of(page or "")
             for token, n in [*counts.items(), ("", 1)]:  # the empty token counts the pages
-                row = held.setdefault((host, token), [0, 0, 0, 0.0, 0.0])
+                row = held.setdefault((host, token), [0, 0, 0, 0.0])
                 row[0] ^= _mixed(key, n)
                 row[1] += 1
                 row[2] += n
                 row[3] += places.get(token, 0)
-                row[4] += mass[token[1:]] if token[:1] == "<" else 0
         rows = [(*k, *v) for k, v in held.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 7, _COUNTED_ARROW)], schema=_COUNTED_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 6, _COUNTED_ARROW)], schema=_COUNTED_ARROW)
 
 
 def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """host and template: its tokens in frequent, large classes as structs (place, token, class, mass)."""
+    """host and template: its tokens in frequent, large classes as structs (place, token, class)."""
     keyed = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(url, page).alias("key"), F.col(page).alias("page"))
-    sums = [F.bit_xor("vector").alias("vector"), *(F.sum(c).alias(c) for c in ("pages", "occurrences", "place", "mass"))]
+    sums = [F.bit_xor("vector").alias("vector"), *(F.sum(c).alias(c) for c in ("pages", "occurrences", "place"))]
     counted = keyed.mapInArrow(_count, _COUNTED).groupBy("host", "token").agg(*sums)
     whole = counted.where("token = ''").select("host", F.col("pages").alias("host_pages"))
     frequent = counted.where("token <> ''").join(whole, "host").where(F.col("pages") >= SUPPORT * F.col("host_pages"))
-    classes = frequent.groupBy("host", "vector", "pages", "occurrences").agg(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token", (F.col("mass") / F.col("pages")).alias("mass"))).alias("tokens"))
+    classes = frequent.groupBy("host", "vector", "pages", "occurrences").agg(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token")).alias("tokens"))
     large = classes.where(F.size("tokens") >= LEAST_TOKENS).select("host", F.xxhash64("vector", "pages", "occurrences").alias("class"), F.explode("tokens").alias("t"))
-    return large.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("t.place", "t.token", "class", "t.mass"))).alias("template"))
+    return large.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("t.place", "t.token", "class"))).alias("template"))
 
 
 def main_slots(template: list | None) -> set[str]:
-    """Paths of the main slot: the article elements that both start and end in the template, or the smallest element with most of the text."""
+    """Paths of the main slot: the article elements that both start and end in the template; none if it has none."""
     opened = {t["token"][1:]: t["class"] for t in template or () if t["token"][0] == "<"}
     closed = {t["token"][1:]: t["class"] for t in template or () if t["token"][0] == "/"}
     nested = [p for p, c in opened.items() if closed.get(p) == c]  # valid: both ends in one class
     named = [p for p in nested if re.split(r"[.]", p.rsplit(">", 1)[-1])[0] in MAIN]
-    if named:
-        return {p for p in named if not any(p.startswith(q + ">") for q in named)}
-    mass = Counter()
-    for t in template or ():
-        if t["token"][0] == "<":
-            for p in nested:
-                if t["token"][1:] == p or t["token"][1:].startswith(p + ">"):
-                    mass[p] += t["mass"]
-    total = max(mass.values(), default=0)
-    held = [p for p in nested if total and mass[p] >= MAIN_SHARE * total]
-    return {max(held, key=lambda p: p.count(">"))} if held else set()
+    return {p for p in named if not any(p.startswith(q + ">") for q in named)}
 
 
 def _read(page_at: int, n: int, schema: pa.Schema):

@@ -37,6 +37,16 @@ def test_a_host_without_article_elements(spark):
     assert {r["text"] for r in he.extract_main(df).collect()} == {f"the long main text number {i} of this page and more of it" for i in range(6)}
 
 
+@pytest.mark.parametrize("shape, body, text", [
+    ('<div class="content"><h1>head</h1>{}</div>', "<p>" + "long main text " * 9 + "</p><p>more</p><ul><li>x</li></ul><table><tr><td>y</td></tr></table><blockquote>z</blockquote><pre>v</pre>", "head " + "long main text " * 9 + "more x y z v"),
+    ('<div class="a">{}</div><div class="b"><p>the other third of it</p></div>', "<p>" + "the first two thirds " * 2 + "</p>", "the first two thirds " * 2 + "the other third of it"),
+])
+def test_a_host_without_article_elements_keeps_the_whole_body(spark, shape, body, text):
+    rows = [(i, f"http://b.org/{i}", page(body + ("<dl><dt>rare</dt></dl>" if i == 5 else ""), shape)) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in he.extract_main(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert all(got[i] == text for i in range(5)) and len(got[5]) == len(text) + len(" rare")
+
+
 def test_template_is_an_equivalence_class(spark):
     df = spark.createDataFrame([(i, f"http://c.org/{i}", page("<p>x</p>" * i)) for i in range(1, 9)], "page_id int, url string, html string").repartition(4)
     found = {r["host"]: r["template"] for r in he.templates(df).collect()}["c.org"]
