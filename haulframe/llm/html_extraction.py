@@ -44,6 +44,10 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img in
 BOILERPLATE = frozenset("nav footer aside form script style noscript template iframe svg head title button select textarea menu dialog object".split())
 BOILERPLATE_NAMES = frozenset("ad ads adbox advert adverts advertisement banner sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer header masthead comment comments disqus respond cookie cookies consent notice notices alert popup modal newsletter subscribe share sharing social related widget toolbar login signup".split())
 HEADER_NAMES = frozenset(("header", "masthead"))
+#: What compounds of those names may hold besides, as in sidebar-left or share-buttons.
+FILLERS = frozenset("area bar block box buttons container content form inner left links list main outer overlay panel posts primary right secondary section site slot top unit wrap wrapper".split())
+#: Their names never make them boilerplate, as generated ids are slugs of the heading; of a section that holds for the id only.
+TEXT_ELEMENTS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 MAIN = frozenset(("article", "main"))
 _CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li td th tr dd dt".split()), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "tbody")), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
 _STOPS = frozenset(("ul", "ol", "table", "article", "main", "div", "section", "body", "td", "dl", "select"))
@@ -52,22 +56,35 @@ _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+def _named_dull(names: list[str], dull_names: frozenset[str]) -> bool:
+    """Whether one of the names is a boilerplate name or a compound of such and fillers."""
+    for name in names:
+        parts = {p for p in re.split(r"[_-]+", name) if p}
+        if parts & dull_names and parts <= dull_names | FILLERS:
+            return True
+    return False
+
+
 class Element:
     """An open element: its name, its role (path of names with class, id and role), whether it stands in an article, and whether it or one around it is boilerplate."""
 
     __slots__ = ("name", "path", "depth", "main", "dull")
 
     def __init__(self, name: str, attributes: str, above: "Element | None"):
-        names = [next(x for x in m[1:] if x).strip().lower() for m in _NAMED.findall(attributes) if any(m[1:])] if attributes else []
+        given = [(m[0].lower(), next(x for x in m[1:] if x).strip().lower()) for m in _NAMED.findall(attributes) if any(m[1:])] if attributes else []
         self.name = name
         self.depth = above.depth + 1 if above else 1
-        key = ".".join([name, *names])
+        key = ".".join([name, *(x for _, x in given)])
         self.path = key if above is None else above.path if above.depth >= DEPTH else f"{above.path}>{key}"
-        parts = {p for x in names for p in re.split(r"[\s_-]+", x)}
         self.main = name in MAIN or bool(above and above.main)
         # the header of an article belongs to it
         dull_names = BOILERPLATE_NAMES - HEADER_NAMES if self.main else BOILERPLATE_NAMES
-        self.dull = bool(above and above.dull) or name in BOILERPLATE or name == "header" and not self.main or bool(parts & dull_names) and name not in ("html", "body", *MAIN)
+        self.dull = bool(above and above.dull) or name in BOILERPLATE or name == "header" and not self.main
+        if given and not self.dull and name not in TEXT_ELEMENTS and name not in ("html", "body", *MAIN):
+            ids = [x for kind, x in given if kind == "id" and name != "section"]
+            names = [y for kind, x in given if kind != "id" for y in x.split()]
+            # outside an article one part of a class or role is enough
+            self.dull = _named_dull([*ids, *names], dull_names) or not self.main and any(p in dull_names for x in names for p in re.split(r"[_-]+", x))
 
 
 def events(page: str) -> Iterator[tuple[str, Element | None, str]]:

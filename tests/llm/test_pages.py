@@ -47,6 +47,16 @@ def test_a_host_without_article_elements_keeps_the_whole_body(spark, shape, body
     assert all(got[i] == text for i in range(5)) and len(got[5]) == len(text) + len(" rare")
 
 
+SLUGS = '<h2 id="ad-hoc-networks">a</h2><section id="related-work"><p>b</p></section><h3 id="social-impact">c</h3><section id="notice-periods">d</section><p class="share-price">e</p><div id="menu-engineering">f</div><h2 id="navigation">g</h2><section id="notices">h</section>'
+
+
+@pytest.mark.parametrize("shape", ["<article>{}</article>", '<div class="content">{}</div>'])
+def test_slug_ids_of_content_stay(spark, shape):
+    dull = '<div class="share-buttons">no</div><ul class="x related-posts">no</ul><div id="cookie-notice">no</div><div class="ad">no</div><div role="navigation">no</div>'
+    df = spark.createDataFrame([(i, f"http://d.org/{i}", page(SLUGS + dull, shape)) for i in range(3)], "page_id int, url string, html string")
+    assert {r["text"] for r in he.extract_main(df).collect()} == {"a b c d e f g h"}
+
+
 def test_template_is_an_equivalence_class(spark):
     df = spark.createDataFrame([(i, f"http://c.org/{i}", page("<p>x</p>" * i)) for i in range(1, 9)], "page_id int, url string, html string").repartition(4)
     found = {r["host"]: r["template"] for r in he.templates(df).collect()}["c.org"]
