@@ -4,15 +4,17 @@ Each mask hashes seven of the words at fixed places of a span and ignores the ot
 survives substitutions at the ignored places. The three masks together hit every thirteen-word
 window with up to two substituted words (the tests enumerate them all). Hits name a benchmark item,
 a document and a diagonal; on the diagonal all words are compared, and windows of ``WINDOW`` words
-with at most ``SUBSTITUTIONS`` different ones make up the reported overlap.
+with at most ``SUBSTITUTIONS`` different ones make up the reported overlap. Of items shorter than that
+the first and the last half are hashed as well, one of which a single substitution leaves alone, and of
+those of fewer than ``EXACT`` words the whole.
 
 The benchmark is read in blocks of bounded size, each broadcast in turn and held against all
 documents, so a benchmark of any size is compared whole.
 
 Words are runs of letters and digits (A-Z as a-z, other characters beyond ASCII count as letters).
 Defined results: null or empty text and null or empty items match nothing; an item of fewer words than
-``WINDOW`` must occur whole, with proportionally fewer substitutions; one of fewer than eight words
-is too short to tell and matches nothing. Repeated documents or items are each reported; null ids are
+``WINDOW`` must occur whole, with proportionally fewer substitutions; one of fewer than ``EXACT`` words
+without any, down to a single word. Repeated documents or items are each reported; null ids are
 carried through. Without rows on either side nothing is reported. Columns of the input are kept.
 """
 
@@ -31,6 +33,8 @@ from haulframe.llm import tokens
 WINDOW = 13
 SUBSTITUTIONS = 2
 MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 4, 6, 7, 8, 9), (0, 1, 3, 4, 7, 9, 10))
+#: Items of fewer words must occur unchanged.
+EXACT = 8
 
 #: Text of the benchmark that is broadcast at once.
 BLOCK_BYTES = 1 << 20
@@ -65,10 +69,20 @@ class Block:
         for which, mask in enumerate(MASKS):
             seeds = _seeds(self.words, mask, which)
             at = np.flatnonzero(owner[: len(seeds)] == owner[len(owner) - len(seeds) :])
-            at = at[np.argsort(seeds[at], kind="stable")]
-            there = np.zeros(1 << _FILTER_BITS, bool)
-            there[(seeds[at] >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-            self.tables.append((mask, seeds[at], at, owner[at], there))
+            self._index(mask, seeds, at, owner)
+        # short items: the whole, or both halves
+        halved = (counts >= EXACT) & (counts < WINDOW)
+        sizes = np.where(halved, counts // 2, np.where(counts < EXACT, counts, 0))
+        for n in np.unique(sizes[sizes > 0]).tolist():
+            at = np.concatenate((self.bounds[:-1][sizes == n], self.bounds[1:][halved & (sizes == n)] - n))
+            mask = tuple(range(n))
+            self._index(mask, _seeds(self.words, mask, len(self.tables)), at, owner)
+
+    def _index(self, mask: tuple[int, ...], seeds: np.ndarray, at: np.ndarray, owner: np.ndarray) -> None:
+        at = at[np.argsort(seeds[at], kind="stable")]
+        there = np.zeros(1 << _FILTER_BITS, bool)
+        there[(seeds[at] >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        self.tables.append((mask, seeds[at], at, owner[at], there))
 
     def diagonals(self, words: np.ndarray, owners: np.ndarray) -> np.ndarray:
         """Distinct rows (document, item, word of the document minus word of the item) that a seed hits."""
@@ -96,6 +110,7 @@ class Block:
         last = np.minimum(self.bounds[item + 1], word_bounds[doc + 1] - shift)
         size = np.diff(self.bounds)[item]
         window = np.minimum(WINDOW, size)
+        allowed = np.where(size < EXACT, 0, SUBSTITUTIONS * window // WINDOW)
         lengths = last - first
         index = tokens.ragged(first, lengths)
         line = np.repeat(np.arange(len(lines)), lengths)
@@ -106,7 +121,7 @@ class Block:
         fits = place + window[line] <= begin[line + 1]
         place, line = place[fits], line[fits]
         got = sums[place + window[line]] - sums[place]
-        good = got >= window[line] - SUBSTITUTIONS * window[line] // WINDOW
+        good = got >= window[line] - allowed[line]
         place, line = place[good], line[good]
         if not len(line):
             return np.zeros((0, 5), np.int64)
@@ -191,7 +206,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same by seeds and diagonals in DuckDB's SQL; the masks leave no window out, so hashes don't matter."""
+    """The same by seeds and diagonals in DuckDB's SQL; the masks leave no window out, so hashes don't matter. It lacks the look-ups for items of fewer than ``WINDOW`` words."""
     words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
     def seeds(table: str, key: str) -> str:

@@ -71,3 +71,36 @@ def test_odd_rows(spark, odd, none):
     assert left.columns == odd.columns and left.count() == len(TEXTS) - 3
     assert overlaps(none, bench).count() == 0 and drop_contaminated(none, bench).count() == 0
     assert overlaps(odd, bench.limit(0)).count() == 0 and drop_contaminated(odd, bench.limit(0)).count() == len(TEXTS)
+
+
+def test_short_items(spark):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, WINDOW)]
+    docs, exact = [], set()
+    for n, t in items:
+        for changed in [(), *itertools.combinations(range(n), 1), *itertools.combinations(range(n), 2)]:
+            words = ["z" if k in changed else w for k, w in enumerate(t.split())]
+            for before, after in (("", ""), ("two before ", " and three after")):
+                if n < 8 and not changed:
+                    exact.add((len(docs), n))
+                docs.append((len(docs), before + " ".join(words).upper() + after))
+    want = plain.overlaps(docs, items, WINDOW, SUBSTITUTIONS) | exact
+    assert {i for _, i in want} == set(range(1, WINDOW))
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for block in (1 << 20, 100):
+        rows = overlaps(df, bench, block_bytes=block).collect()
+        assert len(rows) == len(want) and {(r["doc_id"], r["item_id"]) for r in rows} == want
+        assert all(r["n_words"] == r["item_id"] for r in rows)
+    assert {r["doc_id"] for r in drop_contaminated(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_short_items_equal_plain_version(spark, seed):
+    docs, items = cases(seed)
+    rng = random.Random(seed)
+    items += [(len(items) + i, " ".join(f"b{rng.randrange(300)}" for _ in range(n))) for i, n in enumerate([8, 10, 11, 12, 3, 2, 1])]
+    for i, t in items:
+        docs.append((len(docs), f"before {t} after"))
+    spaced = {d: f" {' '.join(plain.alnum_words(t))} " for d, t in docs}
+    want = plain.overlaps(docs, items, WINDOW, SUBSTITUTIONS) | {(d, i) for d, w in spaced.items() for i, t in items if len(t.split()) < 8 and f" {t} " in w}
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in overlaps(df, bench).collect()} == want
