@@ -3,13 +3,13 @@
 The vocabulary is that of a merge-type model file (its path is a parameter; the driver reads it and
 broadcasts the tables). Encoding is the agenda algorithm: of all neighbouring symbols whose
 concatenation is a piece, the one with the best score is merged first, the leftmost of equals. With
-dropout, a keyed hash of (seed, variant, unit, first, middle and last character) decides for each
-candidate merge whether the agenda skips it, so a text encodes alike on every run and retry, and
-differently with another seed. Occurrences of a unit in a document are spread over ``variants``
-segmentations.
+dropout, a keyed hash of (seed, text, place in it, unit, first, middle and last character) decides for
+each candidate merge whether the agenda skips it, so a text encodes alike on every run and retry, and
+differently with another seed. Every occurrence of a unit draws its own merges.
 
 A text is cut into units between two characters that stand together in no piece, where no merge can
-cross; different units of a slice are segmented once, all at the same time. Unknown characters become
+cross. All units of a slice are segmented at the same time; without dropout, and where a unit is one
+character, each different one once. Unknown characters become
 byte pieces. Decoding gives back every text exactly; so U+2581, which the model uses for spaces, is
 itself written as bytes.
 
@@ -35,7 +35,6 @@ from haulframe.llm.storage import free_name
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 20240607
-VARIANTS = 4
 
 #: Units of more characters than this are segmented one by one with a heap.
 LONG_UNIT = 48
@@ -64,7 +63,6 @@ class Model:
     cuts: np.ndarray  # bool, by two neighbouring bytes at a character bound
     dropout: float = DROPOUT
     seed: int = SEED
-    variants: int = VARIANTS
     _chars: np.ndarray | None = field(default=None, repr=False)
 
     @staticmethod
@@ -296,7 +294,11 @@ class Encoder:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)))
         whole = tokens.mix(sums[part.word_bounds[1:]] - sums[part.word_bounds[:-1]])
         place = (np.arange(len(starts)) - part.word_bounds[owners]).astype(np.uint64)
-        variant = tokens.mix(whole[owners] + place * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.model.variants) if self.limit else np.zeros(len(starts), np.uint64)
+        # one character has no merges to draw
+        chars = np.flatnonzero((data & 0xC0) != 0x80)
+        alone = np.searchsorted(chars, part.ends) - np.searchsorted(chars, part.starts) < 2
+        drawn = tokens.mix(whole[owners] + place * np.uint64(0x9E3779B97F4A7C15))
+        variant = np.where(alone, np.uint64(0), drawn) if self.limit else np.zeros(len(starts), np.uint64)
         keys, where, back = np.unique(tokens.mix(hashes + variant), return_index=True, return_inverse=True)
         # characters of the different units only
         lengths = (part.ends - part.starts)[where]

@@ -93,3 +93,18 @@ def test_frames(spark, odd, none):
 def test_the_whole_registered_query(spark, sf001):
     got = sp.op2_sentencepieces(spark, sf001)
     assert got.where("NOT lossless").count() == 0 and got.count() == spark.read.parquet(f"{sf001}/documents.parquet").count()
+
+
+def test_every_occurrence_draws_its_own_merges(varied):
+    """A word of ten letters has many segmentations, in one text and over several."""
+    one = varied.encode(pa.array([" ".join(["government"] * 3000)])).to_pylist()[0]
+    several = varied.encode(pa.array([f"government {i}" for i in range(3000)]))
+    assert len({tuple(x[: len(x) - 1]) for x in several.to_pylist()}) > 20
+    words, word = set(), []
+    first = varied.model.pieces
+    for i in one:
+        if first[i].startswith(b" ") and word:
+            words.add(tuple(word))
+            word = []
+        word.append(i)
+    assert len(words) > 20
