@@ -8,9 +8,9 @@ each candidate merge whether the agenda skips it, so a text encodes alike on eve
 differently with another seed. Every occurrence of a unit draws its own merges.
 
 A text is cut into units between two characters that stand together in no piece, where no merge can
-cross. All units of a slice are segmented at the same time; without dropout, and where a unit is one
-character, each different one once. Unknown characters become
-byte pieces. Decoding gives back every text exactly; so U+2581, which the model uses for spaces, is
+cross. All units of a slice go through the agenda at the same time; the course of merges and skips is
+remembered as a tree, so that occurrences which draw alike share its work. Unknown characters become byte
+pieces. Decoding gives back every text exactly; so U+2581, which the model uses for spaces, is
 itself written as bytes.
 
 Defined results: a null text has null ids and decodes to null; an empty text has no ids. Repeated
@@ -36,10 +36,14 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 20240607
 
-#: Units of more characters than this are segmented one by one with a heap.
-LONG_UNIT = 48
+#: Units are kept in rows of these widths; those of more characters are segmented one by one with a heap.
+WIDTHS = (4, 8, 16, 48)
+#: A unit that occurs so often in a slice is remembered; rarer ones are merged without that, as it costs more than one use saves.
+SHARED = 2
 #: Bytes of text whose units are looked at together.
 ENCODE_BYTES = 1 << 20
+#: The remembered courses are forgotten between slices once they have more nodes; what is computed stays the same.
+AGENDA_NODES = 200_000
 
 _NONE = np.float32(np.inf)
 _SPACE_MARK = 0x2581
@@ -116,6 +120,19 @@ class Model:
         known = (at >= 0) & (left >= 0) & (right >= 0)
         return self.merged[at], np.where(known, self.cost[at], _NONE)
 
+    def as_ids(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of rows of symbols (given one after the other) and how many each has: unknown characters become their bytes."""
+        unknown = symbols < 0
+        if not unknown.any():
+            return symbols, counts
+        raw = [chr(-1 - s).encode() for s in symbols[unknown].tolist()]
+        spread = np.ones(len(symbols), np.int64)
+        spread[unknown] = [len(x) for x in raw]
+        ids = np.repeat(symbols, spread)
+        ids[np.repeat(unknown, spread)] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        ends = np.concatenate(([0], np.cumsum(spread)))[np.concatenate(([0], np.cumsum(counts)))]
+        return ids, np.diff(ends)
+
 
 def _hash_table(keys: np.ndarray, merged: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     size = 1 << int(4 * len(keys)).bit_length()
@@ -145,6 +162,144 @@ def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, code
 
 
+class _Grown:
+    """A numpy array that rows are added to."""
+
+    def __init__(self, shape: tuple[int, ...], kind: type):
+        self.n, self.held = 0, np.zeros((1024, *shape), kind)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.n + len(rows) > len(self.held):
+            more = np.zeros((max(2 * len(self.held), self.n + len(rows)), *self.held.shape[1:]), self.held.dtype)
+            more[: self.n] = self.held[: self.n]
+            self.held = more
+        self.held[self.n : self.n + len(rows)] = rows
+        self.n += len(rows)
+
+    @property
+    def rows(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
+class Agenda:
+    """The agenda's course over units, remembered as a tree.
+
+    A node is a unit with some merges done and some skipped; it names the candidate that the agenda gives out
+    next (first, middle and last character), or is a leaf if there is none. Whether an occurrence goes on at
+    ``take`` (the candidate is merged) or at ``skip`` is drawn for that occurrence, so all draw on their own,
+    but a course that another occurrence took before needs no merging again.
+    """
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.known: dict[int, int] = {}
+        self.place, self.take, self.skip = _Grown((3,), np.int32), _Grown((), np.int32), _Grown((), np.int32)
+        self.kind, self.row, self.best = _Grown((), np.int8), _Grown((), np.int32), _Grown((), np.int8)
+        self.at, self.counts, self.pool = _Grown((), np.int64), _Grown((), np.int64), _Grown((), np.int32)
+        # per width: symbols, first character of each symbol, merged symbol and its cost; how many symbols
+        self.states = [(_Grown((w,), np.int32), _Grown((w + 1,), np.int16), _Grown((w,), np.int32), _Grown((w,), np.float32), _Grown((), np.int16)) for w in WIDTHS]
+
+    def _offer(self, symbols: np.ndarray, merged: np.ndarray, cost: np.ndarray, sizes: np.ndarray, rows: np.ndarray, i: np.ndarray) -> None:
+        """Candidates of symbol i of the rows and its right neighbour."""
+        fits = (i >= 0) & (i + 1 < sizes[rows])
+        gone = rows[(i >= 0) & ~fits], i[(i >= 0) & ~fits]
+        rows, i = rows[fits], i[fits]
+        merged[rows, i], cost[rows, i] = self.model.look_up(symbols[rows, i], symbols[rows, i + 1])
+        cost[gone] = _NONE
+
+    def _add(self, kind: int, symbols: np.ndarray, firsts: np.ndarray, merged: np.ndarray, cost: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of the new nodes with these states."""
+        n, every = len(self.take), np.arange(len(sizes))
+        best = cost.argmin(1)
+        leaf = ~(cost[every, best] < _NONE)
+        last = np.minimum(best + 2, firsts.shape[1] - 1)
+        place = np.stack((firsts[every, best], firsts[every, best + 1], firsts[every, last]), 1).astype(np.int32)
+        place[leaf] = -1
+        self.row.add(len(self.states[kind][4]) + every)
+        for held, rows in zip(self.states[kind], (symbols, firsts, merged, cost, sizes)):
+            held.add(rows)
+        none = np.full(len(sizes), -1)
+        for held, rows in ((self.place, place), (self.take, none), (self.skip, none), (self.kind, np.full(len(sizes), kind)), (self.best, best)):
+            held.add(rows)
+        ids, counts = self.model.as_ids(symbols[leaf][np.arange(symbols.shape[1])[None, :] < sizes[leaf][:, None]], sizes[leaf].astype(np.int64))
+        at, per = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        per[leaf], at[leaf] = counts, len(self.pool) + np.cumsum(counts) - counts
+        self.pool.add(ids), self.at.add(at), self.counts.add(per)
+        return n + every
+
+    def roots(self, units: np.ndarray, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The root of each unit; -1 for those neither known nor wanted, or of more characters than there are widths for."""
+        out = np.array([self.known.get(u, -1) for u in units.tolist()], np.int64)
+        low, chars = 0, self.model.chars()
+        for kind, width in enumerate(WIDTHS):
+            new = np.flatnonzero((out < 0) & wanted & (sizes > low) & (sizes <= width))
+            low = width
+            if len(new):
+                n = sizes[new].astype(np.int16)
+                symbols = np.full((len(new), width), -1, np.int32)
+                symbols[np.arange(width)[None, :] < n[:, None]] = chars[points[tokens.ragged(starts[new], sizes[new])]]
+                firsts = np.broadcast_to(np.arange(width + 1, dtype=np.int16), (len(new), width + 1))
+                merged, cost = np.zeros((len(new), width), np.int32), np.full((len(new), width), _NONE, np.float32)
+                self._offer(symbols, merged, cost, n, *np.nonzero(np.arange(width)[None, :] + 1 < n[:, None]))
+                out[new] = self._add(kind, symbols, firsts, merged, cost, n)
+                self.known.update(zip(units[new].tolist(), out[new].tolist()))
+        return out
+
+    def _grow(self, nodes: np.ndarray, skipped: np.ndarray) -> None:
+        """Adds the next nodes of these, where their candidate is skipped or not."""
+        for kind in np.unique(self.kind.rows[nodes]):
+            mine = self.kind.rows[nodes] == kind
+            parents, skip = nodes[mine], skipped[mine]
+            rows, best = self.row.rows[parents], self.best.rows[parents].astype(np.int64)
+            symbols, firsts, merged, cost, sizes = (x.rows[rows] for x in self.states[kind])
+            cost[skip, best[skip]] = _NONE
+            every = np.flatnonzero(~skip)
+            if len(every):
+                b, width = best[every], symbols.shape[1]
+                symbols[every, b] = merged[every, b]
+                # all that stands right of the merge moves one place to the left
+                columns = np.arange(width + 1)[None, :]
+                after, from_it = np.minimum(columns + (columns > b[:, None]), width), columns + (columns >= b[:, None])
+                firsts[every] = np.take_along_axis(firsts[every], after, 1)
+                symbols[every] = np.take_along_axis(symbols[every], np.minimum(after[:, :width], width - 1), 1)
+                from_it = np.minimum(from_it[:, :width], width - 1)
+                merged[every], cost[every] = np.take_along_axis(merged[every], from_it, 1), np.take_along_axis(cost[every], from_it, 1)
+                sizes[every] -= 1
+                for i in (b - 1, b):
+                    self._offer(symbols, merged, cost, sizes, every, i)
+            new = self._add(int(kind), symbols, firsts, merged, cost, sizes)
+            self.skip.rows[parents[skip]] = new[skip]
+            self.take.rows[parents[~skip]] = new[~skip]
+
+    def walk(self, node: np.ndarray, keys: np.ndarray, skips) -> np.ndarray:
+        """The leaf of each occurrence from its root on."""
+        node = node.copy()
+        going = np.arange(len(node))
+        while True:
+            place = self.place.rows[node[going]]
+            some = place[:, 0] >= 0
+            going, place = going[some], place[some]
+            if not len(going):
+                return node
+            at = node[going]
+            skipped = skips(keys[going], place[:, 0], place[:, 1], place[:, 2])
+            after = np.where(skipped, self.skip.rows[at], self.take.rows[at])
+            new = np.flatnonzero(after < 0)
+            if len(new):
+                wanted = np.unique(at[new] * 2 + skipped[new])
+                for some_wanted in np.array_split(wanted, len(wanted) // 16384 + 1):
+                    self._grow(some_wanted >> 1, (some_wanted & 1).astype(bool))
+                after[new] = np.where(skipped[new], self.skip.rows[at[new]], self.take.rows[at[new]])
+            node[going] = after
+
+    def leaves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all leaves, and of each node where they begin and how many they are."""
+        return self.pool.rows, self.at.rows, self.counts.rows
+
+
 class Encoder:
     """Segments texts with a model; one per Python worker."""
 
@@ -154,6 +309,7 @@ class Encoder:
         self.lengths = np.array([len(x) for x in model.pieces], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
         self.bytes = np.frombuffer(b"".join(model.pieces), np.uint8)
+        self.agenda = Agenda(model)
 
     def _skipped(self, unit: np.ndarray, first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
         if not self.limit:
@@ -240,12 +396,12 @@ class Encoder:
                 offer([p[0] for p in near], [p[1] for p in near])
         return np.array([symbol[i] for i in range(n) if alive[i]], np.int32)
 
-    def _segment(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of the units one after the other, and how many each has."""
+    def _apart(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of occurrences that share nothing, one after the other, and how many each has."""
         chars = self.model.chars()
-        results: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        results: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))]
         low = 0
-        for width in (1, 4, 8, 12, 16, 24, LONG_UNIT):
+        for width in (1, 4, 6, 8, 10, 12, 16, 24, WIDTHS[-1]):
             which = np.flatnonzero((sizes > low) & (sizes <= width))
             low = width
             for some in np.array_split(which, max(1, len(which) * width >> 17)):
@@ -254,28 +410,31 @@ class Encoder:
                     symbols[np.arange(width)[None, :] < sizes[some][:, None]] = chars[points[tokens.ragged(starts[some], sizes[some])]]
                     symbols, counts = self._merge_together(keys[some], symbols, sizes[some].astype(np.int32))
                     results.append((some, symbols[np.arange(width)[None, :] < counts[:, None]], counts.astype(np.int64)))
-        for one in np.flatnonzero(sizes > LONG_UNIT):
+        for one in np.flatnonzero(sizes > WIDTHS[-1]):
             symbols = self._merge_alone(keys[one], chars[points[starts[one] : starts[one] + sizes[one]]])
             results.append((np.array([one]), symbols, np.array([len(symbols)])))
-        if not results:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        units, counts = np.concatenate([r[0] for r in results]), np.concatenate([r[2] for r in results])
+        which, counts = np.concatenate([r[0] for r in results]), np.concatenate([r[2] for r in results])
         flat, at = np.concatenate([r[1] for r in results]), np.cumsum(counts) - counts
-        order = np.argsort(units)
+        order = np.argsort(which)
         return flat[tokens.ragged(at[order], counts[order])], counts[order]
 
-    def _as_ids(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Unknown characters become their bytes."""
-        unknown = symbols < 0
-        if not unknown.any():
-            return symbols, counts
-        raw = [chr(-1 - s).encode() for s in symbols[unknown].tolist()]
-        spread = np.ones(len(symbols), np.int64)
-        spread[unknown] = [len(x) for x in raw]
-        ids = np.repeat(symbols, spread)
-        ids[np.repeat(unknown, spread)] = self.model.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-        ends = np.concatenate(([0], np.cumsum(spread)))[np.concatenate(([0], np.cumsum(counts)))]
-        return ids, np.diff(ends)
+    def _segment(self, units: np.ndarray, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, back: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all occurrences one after the other, and how many each has.
+
+        units, starts, sizes: of the different units, hash and place of their characters in points.
+        back, keys: of the occurrences, the number of the unit and what their merges are drawn by.
+        """
+        if len(self.agenda.take) > AGENDA_NODES:
+            self.agenda = Agenda(self.model)
+        node = self.agenda.roots(units, points, starts, sizes, np.bincount(back, minlength=len(units)) >= SHARED)[back]
+        shared, apart = np.flatnonzero(node >= 0), np.flatnonzero(node < 0)
+        node[shared] = self.agenda.walk(node[shared], keys[shared], self._skipped)
+        pool, at, counts = self.agenda.leaves()
+        more, more_counts = self.model.as_ids(*self._apart(keys[apart], points, starts[back[apart]], sizes[back[apart]]))
+        begin, per = np.empty(len(node), np.int64), np.empty(len(node), np.int64)
+        begin[shared], per[shared] = at[node[shared]], counts[node[shared]]
+        begin[apart], per[apart] = len(pool) + np.cumsum(more_counts) - more_counts, more_counts
+        return np.concatenate((pool, more))[tokens.ragged(begin, per)], per
 
     def _encode_slice(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # every text that isn't empty begins with one space more
@@ -294,21 +453,15 @@ class Encoder:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)))
         whole = tokens.mix(sums[part.word_bounds[1:]] - sums[part.word_bounds[:-1]])
         place = (np.arange(len(starts)) - part.word_bounds[owners]).astype(np.uint64)
-        # one character has no merges to draw
-        chars = np.flatnonzero((data & 0xC0) != 0x80)
-        alone = np.searchsorted(chars, part.ends) - np.searchsorted(chars, part.starts) < 2
         drawn = tokens.mix(whole[owners] + place * np.uint64(0x9E3779B97F4A7C15))
-        variant = np.where(alone, np.uint64(0), drawn) if self.limit else np.zeros(len(starts), np.uint64)
-        keys, where, back = np.unique(tokens.mix(hashes + variant), return_index=True, return_inverse=True)
+        keys = tokens.mix(hashes + drawn)
+        units, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         # characters of the different units only
         lengths = (part.ends - part.starts)[where]
         at, points = _code_points(data[tokens.ragged(part.starts[where], lengths)])
         ends = np.searchsorted(at, np.cumsum(lengths))
         sizes = np.diff(ends, prepend=0)
-        ids, counts = self._as_ids(*self._segment(keys, points, ends - sizes, sizes))
-        unit_at = np.cumsum(counts) - counts
-        per_unit = counts[back]
-        ids = ids[tokens.ragged(unit_at[back], per_unit)]
+        ids, per_unit = self._segment(units, points, ends - sizes, sizes, back, keys)
         return ids.astype(np.int32), np.diff(np.concatenate(([0], np.cumsum(per_unit)))[part.word_bounds])
 
     def encode(self, column: pa.Array) -> pa.Array:

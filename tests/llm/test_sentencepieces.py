@@ -108,3 +108,48 @@ def test_every_occurrence_draws_its_own_merges(varied):
             word = []
         word.append(i)
     assert len(words) > 20
+
+
+def _plain_course(encoder, key, symbols):
+    """The agenda one merge at a time: the cheapest pair whose draw doesn't skip it, the leftmost of equals."""
+    import numpy as np
+
+    at = list(range(len(symbols) + 1))
+    while True:
+        best = None
+        for i in range(len(symbols) - 1):
+            merged, cost = encoder.model.look_up(np.array([symbols[i]]), np.array([symbols[i + 1]]))
+            if np.isfinite(cost[0]) and not encoder._skipped(np.array([key]), *(np.array([at[i + j]]) for j in range(3)))[0]:
+                if best is None or cost[0] < best[0]:
+                    best = cost[0], i, int(merged[0])
+        if best is None:
+            return symbols
+        symbols = [*symbols[: best[1]], best[2], *symbols[best[1] + 2 :]]
+        at = [*at[: best[1] + 1], *at[best[1] + 2 :]]
+
+
+def test_agenda_with_dropout_equals_a_plain_one(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from haulframe.llm import sentencepieces as sp
+
+    encoder = sp.Encoder(sp.Model.load(dropout=0.3))
+    seen = []
+    whole = encoder._segment
+
+    def watched(units, points, starts, sizes, back, keys):
+        ids, per = whole(units, points, starts, sizes, back, keys)
+        seen.append((points, starts, sizes, back, keys, ids, per))
+        return ids, per
+
+    monkeypatch.setattr(encoder, "_segment", watched)
+    texts = ["internationalization of the internationalization " * 20, "the quick brown fox, the lazy dog " * 9, "Übergrößenträger " * 3 + "x" * 70, "\U0002000b odd ▁ ones"]
+    encoder.encode(pa.array(texts))
+    points, starts, sizes, back, keys, ids, per = seen[0]
+    ends = np.cumsum(per)
+    assert len(back) > 100
+    for k, u in enumerate(back):
+        symbols = _plain_course(encoder, keys[k], encoder.model.chars()[points[starts[u] : starts[u] + sizes[u]]].tolist())
+        plain, _ = encoder.model.as_ids(np.array(symbols, np.int32), np.array([len(symbols)]))
+        assert plain.tolist() == ids[ends[k] - per[k] : ends[k]].tolist()
