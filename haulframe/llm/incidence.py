@@ -3,67 +3,130 @@
 Packing keeps a shuffled pair at about ten bytes instead of a whole row each. The bucket is the top
 bits of the hash, so all pairs of a hash meet in one group, and as every batch first keeps one pair
 per hash, the pairs of the hottest hash number at most the batches, not the documents.
+
+The number of buckets grows with the text, but one exchange tells at most ``FAN_OUT`` of them apart, so
+that a packed row doesn't shrink to single pairs. Beyond that, ``split`` divides each of these once more
+in a second exchange.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haulframe.llm import tokens
 
-PACKED = "bucket int, hashes binary, owners binary, more_hashes binary, more_owners binary"
-PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("more_hashes", pa.binary()), ("more_owners", pa.binary())])
-OWNED = "bucket int, owners binary, hashes binary, counts binary"
-OWNED_ARROW = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary())])
+PACKED = "bucket bigint, hashes binary, owners binary, counts binary"
+PACKED_ARROW = pa.schema([("bucket", pa.int64()), ("hashes", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary())])
 
 #: Pairs that a map task gathers before it packs them.
 PACK_PAIRS = 3 << 18
+#: Buckets that one exchange tells apart; a power of two.
+FAN_OUT = 4096
+
+
+def coarse(buckets: int, fan_out: int = FAN_OUT) -> int:
+    """How many buckets the first of the exchanges tells apart."""
+    return buckets if buckets <= fan_out else 1 << ((buckets.bit_length() - 1) + 1) // 2
+
+
+def top(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each uint64 hash: its top bits."""
+    return (hashes >> np.uint64(65 - int(buckets).bit_length())).astype(np.int64)
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def spread(owners: np.ndarray) -> np.ndarray:
+    """XXH64 of int64 owners with seed 42, which is Spark's xxhash64."""
+    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    x = _rotated(owners.astype(np.int64).view(np.uint64) * two, 31) * one
+    x = _rotated(x ^ (five + np.uint64(50)), 27) * one + four
+    x ^= x >> np.uint64(33)
+    x *= two
+    x ^= x >> np.uint64(29)
+    x *= three
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def owner_bucket(owners: np.ndarray, buckets: int) -> np.ndarray:
+    return top(spread(owners), buckets)
+
 
+def owner_bucket_column(owner: Column, buckets: int) -> Column:
+    """The same as a column expression over a bigint."""
+    return F.shiftrightunsigned(F.xxhash64(owner), 65 - int(buckets).bit_length())
 
-def _parts(hashes: np.ndarray, owners: np.ndarray, buckets: int) -> list[tuple[bytes, bytes]]:
-    shift = np.uint64(64 - int(buckets).bit_length() + 1)
-    to = (hashes >> shift).astype(np.int32)
-    order = np.argsort(to, kind="stable")  # stays in order of documents, which compresses owners
-    ends = np.cumsum(np.bincount(to, minlength=buckets))
-    hashes, owners = hashes[order], owners[order]
-    return [(hashes[i:j].tobytes(), owners[i:j].tobytes()) for i, j in zip(np.concatenate(([0], ends[:-1])), ends)]
 
+def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """values[bounds[0]:bounds[1]], ... as binary, without a loop."""
+    offsets = (bounds * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
-def pack(hashes: np.ndarray, owners: np.ndarray, more_hashes: np.ndarray, more_owners: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """The pairs by bucket; the second pairs travel along with the first."""
-    rows = [(b, *x, *y) for b, (x, y) in enumerate(zip(_parts(hashes, owners, buckets), _parts(more_hashes, more_owners, buckets))) if x[0] or y[0]]
-    columns = list(zip(*rows)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PACKED_ARROW)], schema=PACKED_ARROW)
 
+def pack(to: np.ndarray, hashes: np.ndarray, owners: np.ndarray, counts: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each bucket in to that has pairs. Pairs of a bucket keep their order, which compresses owners."""
+    order = np.argsort(to, kind="stable")
+    to, hashes, owners = to[order], hashes[order], owners[order]
+    begins, _ = group_ids(to)
+    bounds = np.append(begins, len(to))
+    more = pa.nulls(len(begins), pa.binary()) if counts is None else _binary(counts[order].astype(np.int32), bounds)
+    return pa.RecordBatch.from_arrays([pa.array(to[begins]), _binary(hashes, bounds), _binary(owners, bounds), more], schema=PACKED_ARROW)
 
-def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), kind)
 
+def joined(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
+    """All values of a packed column, one after the other."""
+    out = []
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        _, offsets, data = chunk.buffers()
+        if len(chunk) and data is not None:
+            at = np.frombuffer(offsets, np.int32)
+            raw = np.frombuffer(data, np.uint8)[at[chunk.offset] : at[chunk.offset + len(chunk)]]
+            out.append(np.frombuffer(raw.tobytes(), kind) if raw.ctypes.data % 8 else raw.view(kind))
+    return np.concatenate(out) if out else np.zeros(0, kind)
 
-# Two primes scatter ids that share a divisor with the number of buckets.
-_FIRST, _FACTOR, _SECOND = 1_000_003, 7_919, 1_048_573
 
+def split(packed: DataFrame, buckets: int, by_owner: bool = False, fan_out: int = FAN_OUT) -> DataFrame:
+    """Packed rows by the coarse buckets, now by all buckets; unchanged where one exchange was enough.
 
-def bucket_of(owners: np.ndarray, buckets: int) -> np.ndarray:
-    return (owners % _FIRST * _FACTOR % _SECOND % buckets).astype(np.int32)
+    Rows of negative buckets are passed on as they are.
+    """
+    first = coarse(buckets, fan_out)
+    if first == buckets:
+        return packed
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        pairs = 0
 
-def bucket_column(owner: Column, buckets: int) -> Column:
-    """The same as a column expression."""
-    return (F.pmod(owner, F.lit(_FIRST)) * _FACTOR % _SECOND % buckets).cast("int")
+        def again() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            hashes, owners = joined(table["hashes"], np.uint64), joined(table["owners"], np.int64)
+            counts = joined(table["counts"], np.int32) if table["counts"].null_count < table.num_rows else None
+            return pack(owner_bucket(owners, buckets) if by_owner else top(hashes, buckets), hashes, owners, counts)
 
+        for batch in tokens.frugal(batches):
+            own = batch.column(0).to_numpy(zero_copy_only=False) >= 0
+            if not own.all():
+                yield batch.filter(pa.array(~own))
+                batch = batch.filter(pa.array(own))
+            if batch.num_rows:
+                held.append(batch)
+                pairs += batch.column(1).nbytes // 8
+            if pairs > PACK_PAIRS:
+                yield again()
+                held, pairs = [], 0
+        if held:
+            yield again()
 
-def by_owner(owners: np.ndarray, hashes: np.ndarray, counts: np.ndarray | None, buckets: int) -> pa.Table:
-    """The pairs (and their counts) again packed, now by buckets of owners; a row per bucket."""
-    to = bucket_of(owners, buckets)
-    order = np.lexsort((owners, to))
-    ends = np.cumsum(np.bincount(to, minlength=buckets))
-    owners, hashes, counts = owners[order], hashes[order], None if counts is None else counts[order].astype(np.int32)
-    rows = [(b, owners[i:j].tobytes(), hashes[i:j].tobytes(), None if counts is None else counts[i:j].tobytes()) for b, (i, j) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends)) if j > i]
-    columns = list(zip(*rows)) or [()] * 4
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, OWNED_ARROW)], schema=OWNED_ARROW)
+    return packed.repartition(first, "bucket").mapInArrow(run, PACKED)
 
 
 def owned(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
@@ -80,10 +143,11 @@ def repeated(hashes: np.ndarray) -> np.ndarray:
     """Positions of the hashes that occur more than once, in order of the hashes."""
     order = np.argsort(hashes)
     ranked = hashes[order]
-    same = ranked[1:] == ranked[:-1]
     twice = np.zeros(len(ranked), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
+    if len(ranked):
+        same = ranked[1:] == ranked[:-1]
+        twice[1:] |= same
+        twice[:-1] |= same
     return order[twice]
 
 

@@ -2,19 +2,24 @@
 
 The matrix has a row per different shingle set and a column per shingle. Blocks of columns (hash
 buckets) first give each column's exact number of rows; columns of one row can take part in no
-overlap and go. Per row the columns are then ordered rare first, and size-derived bounds decide:
-a row whose lone columns fill its prefix can reach the wanted overlap with no other row, and a pair
-is formed only at columns from which both rows still have enough columns left. Overlaps of the pairs
-are counted on the rows themselves.
-
-A group of near copies does not become all its pairs: in each column the row with the fewest lone
-columns is multiplied with all others first, linked rows become one component, and only pairs across
-components are formed after that. Equal sets are one row from the start.
+overlap and go. Per row the columns are then ordered rare first, and size-derived bounds decide which
+entries of the product are computed at all: a row whose lone columns fill its prefix can reach the
+wanted overlap with no other row, and an entry is only wanted at columns from which both rows still
+have enough columns left. The wanted entries are dealt into blocks of bounded size, each some rows and
+their partners; a block multiplies its rows with its partners' and adds up the overlap counts over all
+columns, and entries below the bound that the two sizes give are discarded.
+
+A group of near copies does not become all its entries: in each column the row with the fewest lone
+columns is multiplied with all others first, and linked rows become one component. After that a row is
+multiplied with rows of other components only, found by the rank of a component in the column, so no
+two rows of one component meet again. Equal sets are one row from the start. The partners of a row
+that has very many are dealt over several blocks.
 
 Defined results: null or empty text has no shingles, links with nothing and is its own component;
 repeated rows are equal sets; a null doc_id takes part, and its component is named by the smallest
-doc_id that is not null (null if there is none). An input without rows gives none. A shingle counts
-as equal when its 64-bit hash is.
+doc_id that is not null (null if there is none). An input without rows gives none; a very long text is
+one row like any other. A shingle counts as equal when its 64-bit hash is. ``cluster`` returns its own
+columns only, ``keep_one`` those of the input.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulframe.llm import incidence, tokens
@@ -32,6 +37,10 @@ from haulframe.llm.storage import bucket_count, free_name, materialise
 
 SHINGLE = 3
 PERCENT = 90
+#: Columns of partners that a block of the product holds, about.
+BLOCK_COLUMNS = 1 << 18
+#: Rows with more partners than a block holds are named to all tasks if they are at most so many, else joined.
+MOST_NAMED = 1 << 18
 
 
 def _sets(part: tokens.Slice, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,10 +87,10 @@ def _sign(k: int):
 def _columns_of_rows(k: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rows, held, seen = [], [], 0, set()
-        none = np.zeros(0, np.uint64)
 
         def packed() -> pa.RecordBatch:
-            return incidence.pack(np.concatenate(hashes), np.concatenate(rows), none, none, buckets)
+            every = np.concatenate(hashes)
+            return incidence.pack(incidence.top(every, buckets), every, np.concatenate(rows))
 
         for batch in tokens.frugal(batches):
             for part in tokens.slices(batch.column(0), lower=True):
@@ -105,25 +114,26 @@ def _columns_of_rows(k: int, buckets: int):
 
 
 def _shared_columns(buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        return _shared(table, buckets)
-
-    return run
-
+    """buckets: the coarse ones of the rows."""
 
-def _shared(table: pa.Table, buckets: int) -> pa.Table:
-    hashes, rows = incidence.joined(table.column("hashes"), np.uint64), incidence.joined(table.column("owners"), np.int64)
-    at = incidence.repeated(hashes)
-    hashes, rows = hashes[at], rows[at]
-    order = np.lexsort((rows, hashes))
-    hashes, rows = hashes[order], rows[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-    hashes, rows = hashes[new], rows[new]
-    begins, run = incidence.group_ids(hashes)
-    counts = np.bincount(run, minlength=len(begins))[run] if len(run) else run
-    shared = counts > 1
-    return incidence.by_owner(rows[shared], hashes[shared], counts[shared], buckets)
+    def run(table: pa.Table) -> pa.Table:
+        hashes, rows = incidence.joined(table.column("hashes"), np.uint64), incidence.joined(table.column("owners"), np.int64)
+        at = incidence.repeated(hashes)
+        hashes, rows = hashes[at], rows[at]
+        order = np.lexsort((rows, hashes))
+        hashes, rows = hashes[order], rows[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+        hashes, rows = hashes[new], rows[new]
+        begins, run = incidence.group_ids(hashes)
+        counts = np.bincount(run, minlength=len(begins))[run] if len(run) else run
+        shared = counts > 1
+        hashes, rows, counts = hashes[shared], rows[shared], counts[shared]
+        order = np.argsort(rows, kind="stable")
+        hashes, rows, counts = hashes[order], rows[order], counts[order]
+        return pa.Table.from_batches([incidence.pack(incidence.owner_bucket(rows, buckets), hashes, rows, counts)])
+
+    return tokens.thrifty(run)
 
 
 _ROWS = "row bigint, n int, lone int, prefix int, columns array<bigint>"
@@ -146,45 +156,120 @@ def _rare_first(percent: int):
                 out.append((rows[i], n[i], lone[i], prefix[i] - lone[i], columns[np.lexsort((columns, counts[mine]))]))
         return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * 5, _ROWS_ARROW)], schema=_ROWS_ARROW)
 
-    return run
+    return tokens.thrifty(run)
 
 
-def candidate_rows(docs: DataFrame, signed: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+def candidate_rows(docs: DataFrame, signed: DataFrame, text: str, k: int, percent: int, buckets: int | None = None, fan_out: int = incidence.FAN_OUT) -> DataFrame:
     """The rows that can link with another: row, n, lone, prefix, columns (shared by other rows, rare first)."""
-    buckets = bucket_count(docs, text)
-    packed = docs.select(F.col(text).alias("t")).mapInArrow(_columns_of_rows(k, buckets), incidence.PACKED)
-    shared = packed.groupBy("bucket").applyInArrow(_shared_columns(buckets), incidence.OWNED)
-    sizes = signed.where("row is not null").groupBy("row").agg(F.max("n_shingles").alias("n")).withColumn("bucket", incidence.bucket_column(F.col("row"), buckets))
+    buckets = buckets or bucket_count(docs, text)
+    first = incidence.coarse(buckets, fan_out)
+    packed = docs.select(F.col(text).alias("t")).mapInArrow(_columns_of_rows(k, first), incidence.PACKED)
+    shared = incidence.split(packed, buckets, fan_out=fan_out).groupBy("bucket").applyInArrow(_shared_columns(first), incidence.PACKED)
+    shared = incidence.split(shared, buckets, by_owner=True, fan_out=fan_out)
+    sizes = signed.where("row is not null").groupBy("row").agg(F.max("n_shingles").alias("n")).withColumn("bucket", incidence.owner_bucket_column(F.col("row"), buckets))
     return shared.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(_rare_first(percent), _ROWS)
 
 
-def _counted(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose overlap is large enough, with it."""
-    one = rows.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("columns").alias("ca"))
-    two = rows.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("columns").alias("cb"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ca", "cb")).alias("overlap"))
-    return both.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select("a", "b", "overlap")
+_LINKS = "a bigint, b bigint"
+_LINKS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _multiply(percent: int):
+    """A block of the product: links between its rows (second table) and their partners (first table)."""
+
+    def run(partners: pa.Table, rows: pa.Table) -> pa.Table:
+        ids, n = rows.column("own").to_numpy(), rows.column("own_n").to_numpy().astype(np.int64)
+        own = rows.column("own_columns").combine_chunks()
+        own_at, own_flat = own.offsets.to_numpy(), own.values.to_numpy()
+        names, of = partners.column("b").to_numpy(), partners.column("row").to_numpy()
+        m = partners.column("n").to_numpy().astype(np.int64)
+        theirs = partners.column("columns").combine_chunks()
+        at, flat = theirs.offsets.to_numpy().astype(np.int64), theirs.values.to_numpy()
+        order = np.argsort(of, kind="stable")
+        begins, _ = incidence.group_ids(of[order])
+        place = dict(zip(ids.tolist(), range(len(ids))))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for some in np.split(order, begins[1:]) if len(order) else ():
+            i = place[int(of[some[0]])]
+            mine = np.sort(own_flat[own_at[i] : own_at[i + 1]])
+            lengths = at[some + 1] - at[some]
+            columns = flat[tokens.ragged(at[some], lengths)]
+            hit = mine[np.minimum(np.searchsorted(mine, columns), len(mine) - 1)] == columns
+            overlap = np.add.reduceat(hit, np.cumsum(lengths) - lengths, dtype=np.int64)
+            good = overlap * 100 >= (n[i] + m[some] - overlap) * percent
+            a.append(np.full(int(good.sum()), ids[i]))
+            b.append(names[some[good]])
+        return pa.table([np.concatenate(a), np.concatenate(b)], schema=_LINKS_ARROW)
+
+    return tokens.thrifty(run)
+
+
+def product(wanted: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Links a, b among the wanted entries (row, b, weight: columns of b) of the product."""
+    wanted = materialise(wanted)
+    weights = wanted.groupBy("row").agg(F.sum("weight").alias("total"))
+    blocks = max(1, -(-(wanted.agg(F.sum("weight")).head()[0] or 0) // BLOCK_COLUMNS))
+    large = materialise(weights.where(F.col("total") > BLOCK_COLUMNS).select("row", F.ceil(F.col("total") / BLOCK_COLUMNS).cast("int").alias("parts")))
+    if large.count() <= MOST_NAMED:
+        large = F.broadcast(large)
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))
+    placed = wanted.join(large, "row", "left").select("row", "b", F.pmod(F.xxhash64("row", part), F.lit(blocks)).cast("bigint").alias("block"))
+    of_b = rows.select(F.col("row").alias("b"), "n", "columns")
+    partners = placed.join(of_b, "b").select("block", "row", "b", "n", "columns")
+    of_row = rows.select(F.col("row").alias("own"), F.col("n").alias("own_n"), F.col("columns").alias("own_columns"))
+    own = placed.select(F.col("block").alias("own_block"), F.col("row").alias("own")).distinct().join(of_row, "own").select("own_block", "own", "own_n", "own_columns")
+    return partners.groupBy("block").cogroup(own.groupBy("own_block")).applyInArrow(_multiply(percent), _LINKS)
+
+
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """row, n, column, left (columns from it on), odd (share of lone columns), weight for each column of the rows' prefixes."""
+    at = F.posexplode(F.slice("columns", 1, F.col("prefix")))
+    every = rows.select("row", "n", "lone", at.alias("i", "column"))
+    return every.select("row", "n", "column", (F.col("n") - F.col("lone") - F.col("i")).alias("left"), (F.col("lone") / F.col("n")).alias("odd"), (F.col("n") - F.col("lone")).alias("weight"))
 
 
-def links(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links a, b between rows that join all rows of each component, though not every pair of it."""
-    least = F.lit(percent) * (F.col("x.n") + F.col("y.n"))  # of (100 + percent) * overlap
-    enough = (F.least("x.left", "y.left") * (100 + percent) >= least) & (F.col("x.row") != F.col("y.row"))
-    at = F.posexplode(F.slice("columns", 1, F.col("prefix")))
-    prefix = rows.select("row", "n", "lone", at.alias("i", "column")).select("row", "n", "column", (F.col("n") - F.col("lone") - F.col("i")).alias("left"), (F.col("lone") / F.col("n")).alias("odd"))
+def _enough(percent: int) -> Column:
+    """Whether x and y can reach the wanted overlap from the column on."""
+    return F.least("x.left", "y.left") * (100 + percent) >= F.lit(percent) * (F.col("x.n") + F.col("y.n"))
+
 
+def stars(prefix: DataFrame, percent: int) -> DataFrame:
+    """Wanted entries between the row of each column that has the fewest lone columns and the others there."""
     first = F.min(F.struct("odd", "row", "n", "left")).alias("first")
     pivots = prefix.groupBy("column").agg(first, F.count(F.lit(1)).alias("rows")).where("rows > 1").select("column", "first.*")
-    stars = prefix.alias("x").join(pivots.alias("y"), F.col("x.column") == F.col("y.column")).where(enough)
-    pair = [F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")]
-    near = materialise(_counted(stars.select(*pair).distinct(), rows, percent))
+    met = prefix.alias("x").join(pivots.alias("y"), F.col("x.column") == F.col("y.column")).where(_enough(percent) & (F.col("x.row") != F.col("y.row")))
+    return met.groupBy(F.col("y.row").alias("row"), F.col("x.row").alias("b")).agg(F.max("x.weight").alias("weight"))
 
-    known = components(near).withColumnRenamed("node", "row")
+
+def across(prefix: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Wanted entries between rows of different components (known: row, component) that share a prefix column.
+
+    In each column the components are ranked by their rows. A row goes to each component of a better rank
+    and meets its rows there, so only entries across components are formed.
+    """
     told = prefix.join(known, "row", "left").withColumn("component", F.coalesce("component", "row"))
     several = told.groupBy("column").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("column")
-    told = told.join(several, "column")
-    across = told.alias("x").join(told.alias("y"), F.col("x.column") == F.col("y.column")).where(enough & (F.col("x.row") < F.col("y.row")) & (F.col("x.component") != F.col("y.component")))
-    return near.union(_counted(across.select(*pair).distinct(), rows, percent)).select("a", "b")
+    told = materialise(told.join(several, "column"))
+    held = told.groupBy("column", "component").agg(F.count(F.lit(1)).alias("held"))
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("held"), "component"))
+    told = told.join(held.select("column", "component", rank.alias("rank")), ["column", "component"])
+    going = told.where("rank > 1").withColumn("to", F.explode(F.sequence(F.lit(1), F.col("rank") - 1)))
+    met = going.alias("x").join(told.alias("y"), (F.col("x.column") == F.col("y.column")) & (F.col("x.to") == F.col("y.rank"))).where(_enough(percent))
+    return met.groupBy(F.col("x.row").alias("row"), F.col("y.row").alias("b")).agg(F.max("y.weight").alias("weight"))
+
+
+def _linked(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of the stars, their components (row, component), and links across these."""
+    prefix = _prefixes(rows)
+    near = materialise(product(stars(prefix, percent), rows, percent))
+    known = components(near).withColumnRenamed("node", "row")
+    return near, known, materialise(product(across(prefix, known, percent), rows, percent))
+
+
+def links(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links a, b between rows that join all rows of each component, though not every pair of it."""
+    near, _, far = _linked(rows, percent)
+    return near.union(far)
 
 
 def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -192,7 +277,9 @@ def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int
     plain = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     signed = materialise(plain.mapInArrow(_sign(k), _SIGNED))
     rows = materialise(candidate_rows(docs, signed, text, k, percent))
-    known = components(links(rows, percent)).withColumnRenamed("node", "row")
+    _, known, far = _linked(rows, percent)
+    if not far.isEmpty():
+        known = components(known.select(F.col("row").alias("a"), F.col("component").alias("b")).union(far)).withColumnRenamed("node", "row")
     named = signed.where("row is not null").groupBy("row").agg(F.min("doc_id").alias("first_id"))
     of_row = known.join(named, "row")
     least = of_row.groupBy("component").agg(F.min("first_id").alias("least_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that one hash bucket stands for; a task of the counting step holds one bucket at a time.
-BUCKET_TEXT_BYTES = 16 << 20
+BUCKET_TEXT_BYTES = 8 << 20
 
 
 #: Arrow batches of the registered queries; Spark's own limit of 64 MB is held several times over in each worker and in the JVM.

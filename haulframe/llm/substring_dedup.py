@@ -1,13 +1,15 @@
 """Exact substring removal across documents by Rabin-Karp hashes of every fixed-length window.
 
 Three steps. Map tasks hash every window of ``width`` words and keep, for each hash of a batch, the
-smallest doc_id; windows that already lose inside the batch are known to be repeated. Buckets of the
-hash space then count what is left: in a group of equal hashes all but the smallest doc_id lose.
+smallest doc_id; windows that already lose inside the batch are known to be repeated and go straight to
+the buckets of their documents. Buckets of the hash space count what is left: in a group of equal
+hashes, at most one pair a batch, all but the smallest doc_id lose.
 The lost hashes return to their documents, whose windows merge into maximal removal intervals.
 
 Defined results: null text has no words; a null doc_id neither removes nor loses anything; equal
 doc_ids are no reason for each other's removal; repeated rows are each treated alike; a text of
-fewer than ``width`` words is kept whole. An input without rows gives an output without rows.
+fewer than ``width`` words is kept whole; a very long text is treated whole, as a slice of its own. An input
+without rows gives an output without rows.
 Columns of the input are kept, whatever their names. A window counts as equal when its 64-bit hash is.
 """
 
@@ -50,6 +52,12 @@ def _first_in_batch(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _hash_windows(width: int, buckets: int):
+    def packed(hashes: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        hashes, ids, lost_hashes, lost_ids = _first_in_batch(np.concatenate(hashes), np.concatenate(ids))
+        yield incidence.pack(incidence.top(hashes, buckets), hashes, ids)
+        if len(lost_ids):  # these need no counting, and go by their documents, so that no hash gathers them
+            yield incidence.pack(-1 - incidence.owner_bucket(lost_ids, buckets), lost_hashes, lost_ids)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ids, held = [], [], 0
         for batch in tokens.frugal(batches):
@@ -60,36 +68,38 @@ def _hash_windows(width: int, buckets: int):
                 ids.append(doc_ids[part.first + part.owners()[at]])
                 held += len(found)
                 if held > incidence.PACK_PAIRS:
-                    yield incidence.pack(*_first_in_batch(np.concatenate(hashes), np.concatenate(ids)), buckets)
+                    yield from packed(hashes, ids)
                     hashes, ids, held = [], [], 0
         if held:
-            yield incidence.pack(*_first_in_batch(np.concatenate(hashes), np.concatenate(ids)), buckets)
+            yield from packed(hashes, ids)
 
     return run
 
 
 def _count_bucket(buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        return _count(table, buckets)
-
-    return run
-
+    """buckets: the coarse ones of the owners."""
 
-def _count(table: pa.Table, buckets: int) -> pa.Table:
-    hashes, ids = incidence.joined(table.column("hashes"), np.uint64), incidence.joined(table.column("owners"), np.int64)
-    at = incidence.repeated(hashes)
-    hashes, ids = hashes[at], ids[at]
-    begins, run = incidence.group_ids(hashes)
-    lost = ids > np.minimum.reduceat(ids, begins)[run] if len(ids) else np.zeros(0, bool)
-    more_hashes, more_ids = incidence.joined(table.column("more_hashes"), np.uint64), incidence.joined(table.column("more_owners"), np.int64)
-    return incidence.by_owner(np.concatenate((ids[lost], more_ids)), np.concatenate((hashes[lost], more_hashes)), None, buckets)
-
-
-def repeated_windows(docs: DataFrame, buckets: int, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
-    """The windows that a smaller doc_id also has, packed by buckets of the documents that lose them (see incidence.OWNED)."""
+    def run(table: pa.Table) -> pa.Table:
+        hashes, ids = incidence.joined(table.column("hashes"), np.uint64), incidence.joined(table.column("owners"), np.int64)
+        if table.column("bucket")[0].as_py() >= 0:
+            at = incidence.repeated(hashes)
+            hashes, ids = hashes[at], ids[at]
+            begins, run = incidence.group_ids(hashes)
+            lost = ids > np.minimum.reduceat(ids, begins)[run] if len(ids) else np.zeros(0, bool)
+            hashes, ids = hashes[lost], ids[lost]
+        order = np.argsort(ids, kind="stable")
+        return pa.Table.from_batches([incidence.pack(incidence.owner_bucket(ids[order], buckets), hashes[order], ids[order])])
+
+    return tokens.thrifty(run)
+
+
+def repeated_windows(docs: DataFrame, buckets: int, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, fan_out: int = incidence.FAN_OUT) -> DataFrame:
+    """The windows that a smaller doc_id also has, packed by buckets of the documents that lose them."""
+    first = incidence.coarse(buckets, fan_out)
     known = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t"))
-    packed = known.mapInArrow(_hash_windows(width, buckets), incidence.PACKED)
-    return packed.groupBy("bucket").applyInArrow(_count_bucket(buckets), incidence.OWNED)
+    packed = incidence.split(known.mapInArrow(_hash_windows(width, first), incidence.PACKED), buckets, fan_out=fan_out)
+    lost = packed.groupBy("bucket").applyInArrow(_count_bucket(first), incidence.PACKED)
+    return incidence.split(lost, buckets, by_owner=True, fan_out=fan_out)
 
 
 def _cut(batch: pa.RecordBatch, text_at: int, id_at: int, lost: dict[int, np.ndarray], width: int) -> tuple[list, list, list]:
@@ -132,10 +142,10 @@ def _cut_bucket(text_at: int, id_at: int, width: int, schema: pa.Schema):
             out.append(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, schema)], schema=schema))
         return pa.Table.from_batches(out, schema)
 
-    return run
+    return tokens.thrifty(run)
 
 
-def remove_repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
+def remove_repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, buckets: int | None = None, fan_out: int = incidence.FAN_OUT) -> DataFrame:
     """docs with three columns more: kept_text, n_words, n_removed (names are lengthened if docs has them).
 
     kept_text is the words that are left, joined by one space. Texts meet their lost windows bucket by
@@ -143,11 +153,11 @@ def remove_repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    buckets = bucket_count(docs, text)
-    lost = repeated_windows(docs, buckets, text, doc_id, width)
+    buckets = buckets or bucket_count(docs, text)
+    lost = repeated_windows(docs, buckets, text, doc_id, width, fan_out)
     bucket = free_name("bucket", docs.columns)
     spread = F.coalesce(F.col(doc_id).cast("bigint"), F.xxhash64(text))
-    both = docs.withColumn(bucket, incidence.bucket_column(spread, buckets))
+    both = docs.withColumn(bucket, incidence.owner_bucket_column(spread, buckets))
     schema = T.StructType(list(docs.schema.fields))
     for name, kind in (("kept_text", T.StringType()), ("n_words", T.LongType()), ("n_removed", T.LongType())):
         schema = schema.add(free_name(name, schema.names), kind)

@@ -8,8 +8,10 @@ sums modulo 2**64, divided by a power of the (odd, hence invertible) base.
 from __future__ import annotations
 
 import ctypes
+import inspect
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -60,18 +62,39 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
 
 try:
     _trim = ctypes.CDLL(None).malloc_trim
+    # large arrays are mapped one by one, so freeing them gives the memory back at once (M_MMAP_THRESHOLD is -3)
+    ctypes.CDLL(None).mallopt(-3, 4 << 20)
 except (OSError, AttributeError, TypeError):  # another C library
     _trim = None
 
 
+def give_back() -> None:
+    """Returns free memory to the system, as workers live on with other operators."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def thrifty(run):
+    """run (of a group's tables), and what it took is given back before the next group."""
+
+    @wraps(run)
+    def work(*tables: pa.Table) -> pa.Table:
+        out = run(*tables)
+        give_back()
+        return out
+
+    # Spark counts the arguments to tell whether the key is wanted too
+    work.__signature__ = inspect.signature(run)
+    return work
+
+
 def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; memory that one of them took is given back before the next, as workers live on with other operators."""
+    """The batches; memory that one of them took is given back before the next."""
     for batch in batches:
         yield batch
         del batch
-        pa.default_memory_pool().release_unused()
-        if _trim is not None:
-            _trim(0)
+        give_back()
 
 
 @dataclass

@@ -45,6 +45,39 @@ def test_links_across_pivots_are_found(spark):
     assert got == dict(zip(range(12), plain.components(docs, 3, 90)))
 
 
+def test_a_stranger_meets_each_near_copy_once(spark):
+    """20,000 rows of one component and a stranger share a column: no two rows of the component meet again."""
+    from pyspark.sql import functions as F
+
+    from haulframe.llm.ngram_join import across
+
+    n = 20_000
+    prefix = spark.range(n + 1).select(F.col("id").alias("row"), F.lit(50).alias("n"), F.lit(7).cast("bigint").alias("column"), F.lit(50).alias("left"), F.lit(0.0).alias("odd"), F.lit(50).alias("weight"))
+    known = spark.range(n).select(F.col("id").alias("row"), F.lit(0).cast("bigint").alias("component"))
+    met = across(prefix, known, 90)
+    assert met.count() == n and met.select("row").distinct().collect() == [(n,)]
+
+
+def test_two_exchanges_give_the_same(spark):
+    from pyspark.sql import functions as F
+
+    from haulframe.llm.ngram_join import _SIGNED, _sign, candidate_rows
+
+    df = spark.createDataFrame(near_copies(5, 200), "doc_id bigint, text string").repartition(3)
+    signed = df.select("doc_id", F.xxhash64("text"), "text").mapInArrow(_sign(3), _SIGNED)
+    rows = [sorted((r["row"], r["n"], r["lone"], r["prefix"], tuple(r["columns"])) for r in candidate_rows(df, signed, "text", 3, 90, 64, fan_out).collect()) for fan_out in (64, 8)]
+    assert rows[0] == rows[1] and len(rows[0]) > 20
+
+
+def test_partners_of_a_row_are_dealt_over_blocks(spark, monkeypatch):
+    from haulframe.llm import ngram_join
+
+    docs = near_copies(6, 150)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    monkeypatch.setattr(ngram_join, "BLOCK_COLUMNS", 50)
+    assert {r["doc_id"]: r["component_id"] for r in cluster(df).collect()} == dict(zip([d for d, _ in docs], plain.components(docs, 3, 90)))
+
+
 def test_odd_rows(odd):
     got = sorted((str(r["doc_id"]), str(r["component_id"]), r["n_shingles"]) for r in cluster(odd).collect())
     assert got == sorted((str(d), str(c), len(plain.shingles(t, 3))) for (d, t), c in zip(TEXTS, plain.components(TEXTS, 3, 90)))
