@@ -244,16 +244,22 @@ def stars(prefix: DataFrame, percent: int) -> DataFrame:
 def across(prefix: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Wanted entries between rows of different components (known: row, component) that share a prefix column.
 
-    In each column the components are ranked by their rows. A row goes to each component of a better rank
-    and meets its rows there, so only entries across components are formed.
+    The bound for two rows, added up for both, says that their slacks together aren't negative. So rows whose
+    slack even the best one of the column doesn't make up for go first. In each column the components are then
+    ranked by their best slack. A row goes to each component of a better rank, one with a negative slack only
+    to those with a positive one, and meets its rows there; only entries across components are formed.
     """
-    told = prefix.join(known, "row", "left").withColumn("component", F.coalesce("component", "row"))
-    several = told.groupBy("column").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("column")
-    told = materialise(told.join(several, "column"))
-    held = told.groupBy("column", "component").agg(F.count(F.lit(1)).alias("held"))
-    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("held"), "component"))
-    told = told.join(held.select("column", "component", rank.alias("rank")), ["column", "component"])
-    going = told.where("rank > 1").withColumn("to", F.explode(F.sequence(F.lit(1), F.col("rank") - 1)))
+    slack = F.col("left") * (100 + percent) - F.col("n") * (2 * percent)
+    told = prefix.join(known, "row", "left").withColumns({"component": F.coalesce("component", "row"), "slack": slack.cast("bigint")})
+    several = told.groupBy("column").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.max("slack").alias("best")).where("c != d").select("column", "best")
+    told = materialise(told.join(several, "column").where("slack + best >= 0").drop("best"))
+    held = told.groupBy("column", "component").agg(F.max("slack").alias("reach"))
+    of_column = Window.partitionBy("column")
+    rank = F.row_number().over(of_column.orderBy(F.desc("reach"), "component"))
+    held = held.select("column", "component", rank.alias("rank"), F.count_if(F.col("reach") > 0).over(of_column).alias("open"))
+    told = told.join(held, ["column", "component"])
+    last = F.when(F.col("slack") < 0, F.least(F.col("rank") - 1, F.col("open"))).otherwise(F.col("rank") - 1)
+    going = told.withColumn("last", last).where("last > 0").withColumn("to", F.explode(F.sequence(F.lit(1), F.col("last").cast("int"))))
     met = going.alias("x").join(told.alias("y"), (F.col("x.column") == F.col("y.column")) & (F.col("x.to") == F.col("y.rank"))).where(_enough(percent))
     return met.groupBy(F.col("x.row").alias("row"), F.col("y.row").alias("b")).agg(F.max("y.weight").alias("weight"))
 
