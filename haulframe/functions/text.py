@@ -16,6 +16,12 @@ PREVIEW_LINES = 20
 _ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
+def utc(c: Column) -> Column:
+    """The wall time in UTC of a timestamp, whatever the session's zone; one without a zone is UTC already."""
+    since = F.make_dt_interval(secs=(F.unix_micros(c.cast("timestamp")) / F.lit(1_000_000).cast("decimal(20,0)")).cast("decimal(18,6)"))
+    return F.when(F.typeof(c) == "timestamp", F.lit("1970-01-01").cast("timestamp_ntz") + since).otherwise(c.cast("timestamp_ntz"))
+
+
 def present(c: Column) -> Column:
     """c, or null where it is an empty string."""
     return F.nullif(c, F.lit(""))
@@ -54,5 +60,5 @@ def extracted_fields(document_type: Column, text: Column) -> Column:
 
 
 def object_key(owner: Column, uploaded_at: Column, token: Column, filename: Column) -> Column:
-    """Where an upload is stored: owner/yyyyMMddHHmmss_<8 hex digits>_filename; the token is a UUID that the caller draws."""
-    return F.concat(owner, F.lit("/"), F.date_format(uploaded_at, "yyyyMMddHHmmss"), F.lit("_"), F.substring(F.replace(token, F.lit("-"), F.lit("")), 1, 8), F.lit("_"), filename)
+    """Where an upload is stored: owner/yyyyMMddHHmmss_<8 hex digits>_filename, the time in UTC; the token is a UUID that the caller draws."""
+    return F.concat(owner, F.lit("/"), F.regexp_replace(F.substring(utc(uploaded_at).cast("string"), 1, 19), "[^0-9]", ""), F.lit("_"), F.substring(F.replace(token, F.lit("-"), F.lit("")), 1, 8), F.lit("_"), filename)

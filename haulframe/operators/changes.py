@@ -2,7 +2,9 @@
 
 Every function takes a snapshot and a batch and gives back frames; nothing is written. A batch has a
 column ``seq`` that orders its requests, and new rows bring their ``id`` (drawn by the caller, so a
-retried task can't draw another one).
+retried task can't draw another one). Requests are checked against the snapshot and the earlier requests
+of the batch that have no error of their own, and of several for one row each field's last one counts;
+a unique value that the snapshot holds is free for others from the next batch on.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from haulframe.schemas import TABLES, evolve, with_defaults
 def audit(rows: DataFrame, actor: str | None, action: str, resource: str, now: datetime, resource_id: str = "id", fields: str | None = None) -> DataFrame:
     """An audit row for each row; details name the changed fields where a column has them."""
     details = F.to_json(F.struct(F.col(fields).alias("fields"))) if fields else F.lit(None).cast("string")
+    # several requests of a batch may be about one row
+    request = [F.col("seq").cast("string")] if "seq" in rows.columns else []
     made = rows.select(
-        F.sha2(F.concat_ws("|", F.lit(action), F.lit(resource), F.col(resource_id), F.lit(str(now))), 256).substr(1, 36).alias("id"),
+        F.sha2(F.concat_ws("|", F.lit(action), F.lit(resource), F.col(resource_id), F.lit(str(now)), *request), 256).substr(1, 36).alias("id"),
         F.lit(now).alias("created_at"), F.lit(actor).alias("actor_id"), F.lit(action).alias("action"), F.lit(resource).alias("resource_type"), F.col(resource_id).alias("resource_id"), details.alias("details"),
     )
     return evolve(made, TABLES["audit_logs"])
@@ -41,7 +45,7 @@ def normalize(batch: DataFrame, table: str) -> DataFrame:
 def _finish(checked: DataFrame, table: str, now: datetime, actor: str | None, audited: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     good = checked.where("error_code IS NULL")
     rows = evolve(good.withColumn("created_at", F.lit(now)), TABLES[table])
-    log = audit(rows, actor, "CREATE", table, now)
+    log = audit(good, actor, "CREATE", table, now)
     return rows, checked.where("error_code IS NOT NULL"), log if audited else log.limit(0)
 
 
@@ -65,7 +69,7 @@ def create_purchases(batch: DataFrame, existing: DataFrame, vendors: DataFrame,
     t = TABLES["purchases"]
     made = v.add_errors(normalize(with_defaults(evolve_batch(batch, "purchases"), t), "purchases"), [*(v.required(c) for c in t.required), *v.field_rules("purchases")])
     made = v.exists(made, "vendor_id", vendors)
-    made = v.unique(made, "purchase_number", existing, "seq", "purchase_number already exists")
+    made = v.unique(made, "purchase_number", existing, "seq", "purchase_number already exists", fit=F.col("__there"))
     made = v.add_errors(made, [(~F.col("__there"), v.INVALID, "vendor not found")]).drop("__there")
     return _finish(made, "purchases", now, actor)
 
@@ -90,16 +94,16 @@ def create_deliveries(batch: DataFrame, existing: DataFrame, purchases: DataFram
     made = v.exists(fill_vendor(made, purchases), "vendor_id", vendors)
     rules = [*(v.required(c) for c in t.required if c != "vendor_id"), *v.field_rules("deliveries")]
     made = v.add_errors(made, rules)
-    made = v.unique(made, "delivery_number", existing, "seq", "delivery_number already exists")
+    made = v.unique(made, "delivery_number", existing, "seq", "delivery_number already exists", fit=F.col("__there"))
     made = v.add_errors(made, [(~F.col("__there"), v.INVALID, "vendor not found")]).drop("__there")
     return _finish(made, "deliveries", now, actor)
 
 
 def folded(changes: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
     """One change per row: of each field the last one that names it in its ``fields``, null included."""
-    named = {c: F.when(F.array_contains("fields", c), F.struct(F.col("seq").alias("s"), F.col(c).alias("v"))) for c in columns}
-    last = [F.max_by(F.struct(F.col(c).alias("v")), F.when(F.array_contains("fields", c), F.col("seq"))).alias(f"__{c}") for c in named]
-    return changes.groupBy(key).agg(*last, F.array_sort(F.array_distinct(F.flatten(F.collect_list("fields")))).alias("fields"))
+    last = [F.max_by(F.struct(F.col(c).alias("v")), F.when(F.array_contains("fields", c), F.col("seq"))).alias(f"__{c}") for c in columns]
+    named_at_all = [F.when(F.bool_or(F.array_contains("fields", c)), F.lit(c)) for c in sorted(columns)]
+    return changes.groupBy(key).agg(*last, F.array_compact(F.array(*named_at_all)).alias("fields"))
 
 
 def patch(base: DataFrame, changes: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
@@ -115,7 +119,7 @@ def update(base: DataFrame, changes: DataFrame, table: str, now: datetime, actor
     """The new snapshot, rejected changes and audit rows of PATCH requests.
 
     A change must name an existing row; its fields are checked as on creation, required ones can't be
-    set to null, and unique keys are only contested when they change. For deliveries a named purchase
+    set to null, and unique keys are only contested by requests about other rows. For deliveries a named purchase
     must exist and gives its vendor; vendor and driver must exist; the vehicle is not checked.
     """
     t = TABLES[table]
@@ -124,31 +128,33 @@ def update(base: DataFrame, changes: DataFrame, table: str, now: datetime, actor
     asked = normalize(changes, table).withColumn("fields", F.array_intersect("fields", F.array(*map(F.lit, columns))))
     # fields that aren't named say nothing
     asked = asked.withColumns({c: F.when(F.array_contains("fields", c), F.col(c)) for c in columns})
-    old = base.select(F.col("id").alias("__id"), *(F.col(c).alias(f"__old_{c}") for c in t.unique))
+    old = base.select(F.col("id").alias("__id"))
     asked = asked.join(old, F.col("id") == F.col("__id"), "left")
     missing = (F.col("__id").isNull(), v.MISSING, f"{table} row not found")
     nulls = [(F.array_contains("fields", c) & F.col(c).isNull(), v.INVALID, f"{c} can't be null") for c in t.required if c in columns]
     known = {r for r in columns}
     rules = [r for c, r in _rules_by_column(table) if c in known]
     asked = v.add_errors(asked, [missing, *nulls, *rules])
-    for key in t.unique:
-        if key in columns:
-            asked = v.unique(asked, key, base, "seq", f"{key} already exists", F.col(key) == F.col(f"__old_{key}"))
-    asked = asked.drop("__id", *(f"__old_{c}" for c in t.unique))
+    later: list[v.Rule] = []  # checked after the unique keys
     if purchases is not None and "purchase_id" in columns:
         owner = purchases.select(F.col("id").alias("__purchase"), F.col("vendor_id").alias("__vendor"))
         named = F.array_contains("fields", "purchase_id") & text.present(F.col("purchase_id")).isNotNull()
         asked = asked.join(owner, F.col("purchase_id") == F.col("__purchase"), "left")
-        asked = v.add_errors(asked, [(named & F.col("__purchase").isNull(), v.INVALID, "purchase not found")])
+        later.append((named & F.col("__purchase").isNull(), v.INVALID, "purchase not found"))
         if "vendor_id" not in columns:
             asked, columns = asked.withColumn("vendor_id", F.lit(None).cast("string")), [*columns, "vendor_id"]
         asked = asked.withColumn("vendor_id", F.when(named, F.col("__vendor")).otherwise(F.col("vendor_id")))
-        asked = asked.withColumn("fields", F.when(named, F.array_union("fields", F.array(F.lit("vendor_id")))).otherwise(F.col("fields"))).drop("__purchase", "__vendor")
+        asked = asked.withColumn("fields", F.when(named, F.array_union("fields", F.array(F.lit("vendor_id")))).otherwise(F.col("fields")))
     for other, column in ((vendors, "vendor_id"), (drivers, "driver_id")):
         if other is not None and column in columns:
-            asked = v.exists(asked, column, other)
+            asked = v.exists(asked, column, other, name=f"__{column}")
             named = F.array_contains("fields", column) & text.present(F.col(column)).isNotNull()
-            asked = v.add_errors(asked, [(named & ~F.col("__there"), v.INVALID, f"{column} not found")]).drop("__there")
+            later.append((named & ~F.col(f"__{column}"), v.INVALID, f"{column} not found"))
+    fit = v.first_error(later).isNull()
+    for key in t.unique:
+        if key in columns:
+            asked = v.unique(asked, key, base, "seq", f"{key} already exists", "id", fit)
+    asked = v.add_errors(asked, later).drop("__id", "__purchase", "__vendor", "__vendor_id", "__driver_id")
     good = asked.where("error_code IS NULL")
     detailed = table not in ("purchases", "deliveries")
     log = audit(good.withColumn("fields", F.array_sort("fields")), actor, "UPDATE", table, now, fields="fields" if detailed else None)
@@ -177,7 +183,7 @@ def upload_documents(batch: DataFrame, existing: DataFrame, now: datetime, actor
     made = v.unique(made, "object_key", existing, "seq", "object_key already exists")
     good = made.where("error_code IS NULL")
     rows = evolve(good.withColumn("created_at", F.lit(now)), TABLES["documents"])
-    return rows, made.where("error_code IS NOT NULL"), audit(rows, actor, "UPLOAD", "documents", now)
+    return rows, made.where("error_code IS NOT NULL"), audit(good, actor, "UPLOAD", "documents", now)
 
 
 def delete(base: DataFrame, ids: DataFrame, table: str, now: datetime, actor: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:

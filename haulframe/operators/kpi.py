@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haulframe.functions.text import utc
 from haulframe.operators import views
 
 # What counts as pending and as active, and how many deliveries the dashboard lists.
@@ -21,7 +22,7 @@ def count_where(condition: Column, name: str) -> Column:
 
 
 def total_of(column: str | Column, name: str) -> Column:
-    """Sum of a double column, 0 without rows; added up as decimals, so that partitioning can't change the cents."""
+    """Sum of a double column, 0 without rows; each amount is rounded to cents and these are added as decimals, so that partitioning can't change the result."""
     c = F.col(column) if isinstance(column, str) else column
     return F.coalesce(F.sum(c.cast("decimal(18,2)")).cast("double"), F.lit(0.0)).alias(name)
 
@@ -32,13 +33,14 @@ def bundle(*rows: DataFrame) -> DataFrame:
 
 
 def overdue(now: Column, due: str = "due_date", status: str = "status") -> Column:
-    """Due before today and not paid; rows without a due date never are."""
-    return (F.col(due) < F.to_date(now)) & (F.col(status) != "PAID")
+    """Due before today (in UTC) and not paid; rows without a due date never are."""
+    return (F.col(due) < F.to_date(utc(now))) & (F.col(status) != "PAID")
 
 
 def within_a_day(now: Column, at: str = "scheduled_at") -> Column:
     """In the 24 hours from now, the end excluded."""
-    return (F.col(at) >= now) & (F.col(at) < now + F.expr("INTERVAL 1 DAY"))
+    # in UTC a day has 24 hours, also where the session's zone changes its clocks
+    return (utc(F.col(at)) >= utc(now)) & (utc(F.col(at)) < utc(now) + F.expr("INTERVAL 1 DAY"))
 
 
 def upcoming(deliveries: DataFrame, now: Column, n: int = UPCOMING) -> DataFrame:

@@ -45,6 +45,7 @@ def one_of(column: str, *values: str) -> Rule:
 def field_rules(table: str) -> list[Rule]:
     """The rules for single fields of a table's rows, in order."""
     return {
+        "login": lambda: [required("email"), email("email"), required("password"), length("password", 8)],
         "users": lambda: [email("email"), length("full_name", 2, 150)],
         "vendors": lambda: [length("vendor_code", 2, 30), length("legal_name", 2, 200), length("gstin", most=15), email("email")],
         "invoices": lambda: [above("amount", 0, False), above("tax_amount", 0, True)],
@@ -83,16 +84,26 @@ def violations(df: DataFrame, column: str, other: DataFrame, other_column: str =
     return df.where(present(F.col(column).cast("string")).isNotNull()).join(keys, F.col(column) == F.col("__key"), "left_anti")
 
 
-def unique(df: DataFrame, column: str, existing: DataFrame, order: str, message: str, unchanged: Column | None = None) -> DataFrame:
+def unique(df: DataFrame, column: str, existing: DataFrame, order: str, message: str, about: str | None = None, fit: Column | None = None) -> DataFrame:
     """Adds a conflict to rows whose value existing rows hold, or an earlier row of df without an error; null never conflicts.
 
-    unchanged marks rows whose value is their own already.
+    about names the column with the id of the existing row that a row of df changes: neither that row's own
+    value nor an earlier request about the same row is a conflict. A value that an existing row holds stays
+    taken for the whole batch, even if a request of the batch gives it up. Rows that aren't fit, as they will
+    fail a later rule, take no value from others.
     """
-    marked = exists(df, column, existing, column, "__taken")
-    own = F.lit(False) if unchanged is None else F.coalesce(unchanged, F.lit(False))
-    marked = add_errors(marked, [(F.col("__taken") & ~own, CONFLICT, message)]).drop("__taken")
+    if about is None:
+        taken = F.col("__taken")
+        marked = exists(df, column, existing, column, "__taken")
+    else:
+        holders = existing.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__held")).agg(F.min("id").alias("__least"), F.max("id").alias("__most"))
+        marked = df.join(holders, F.col(column) == F.col("__held"), "left")
+        taken = F.col("__held").isNotNull() & ((F.col("__least") != F.col(about)) | (F.col("__most") != F.col(about)))
+    marked = add_errors(marked, [(taken, CONFLICT, message)]).drop("__taken", "__held", "__least", "__most")
     # rows that take part in the race; the others get a key of their own, so they gather nowhere
     runs = F.col("error_code").isNull() & F.col(column).isNotNull()
     key = F.struct(F.when(runs, F.col(column)).alias("v"), F.when(~runs, F.col(order)).alias("o"))
-    marked = marked.withColumn("__nth", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    return add_errors(marked, [(runs & (F.col("__nth") > 1), CONFLICT, message)]).drop("__nth")
+    earliest = F.struct(F.col(order).alias("o"), F.col(about or order).alias("by"))
+    marked = marked.withColumn("__first", F.min(F.when(F.lit(True) if fit is None else fit, earliest)).over(Window.partitionBy(key)))
+    late = (F.col(order) > F.col("__first.o")) & (F.col(about or order) != F.col("__first.by"))
+    return add_errors(marked, [(runs & late, CONFLICT, message)]).drop("__first")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,33 +10,23 @@ from pyspark.sql import functions as F
 from haulframe.functions import text
 from haulframe.operators import changes, kpi, paging, plates, validation, views, workflow
 from haulframe.plans import fixtures as f
+from haulframe.plans.registered import QUERIES, SQL, Query
+from haulframe.plans.registered import register as _register
 
-#: The clock of written rows; no registered query returns it.
+#: The clock of written rows.
 _CLOCK = datetime(1998, 6, 1, tzinfo=timezone.utc)
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _register(sql: str):
-    """Registers a query under its function's name. The SQL sees the tables of fixtures.SQL."""
-
-    def add(run: Query) -> Query:
-        _QUERIES[run.__name__] = run
-        _SQL[run.__name__] = f"WITH {f.SQL.strip()}{sql if sql.lstrip().startswith(',') else chr(10) + sql}"
-        return run
-
-    return add
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from haulframe.plans import writes  # noqa: F401  registers the queries of the write path
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    queries()
+    return dict(SQL)
 
 
 _DELIVERY_SQL = """
@@ -69,9 +58,13 @@ def delivery_full(spark: SparkSession, d: str) -> DataFrame:
     return views.deliveries(f.deliveries(spark, d), *_lookups(spark, d))
 
 
-@_register("SELECT id, vendor_code, legal_name, status FROM vendors ORDER BY balance DESC NULLS LAST, id LIMIT 50 OFFSET 10")
+@_register("""
+SELECT vendor_code, legal_name, 'G' || id AS gstin, category::VARCHAR AS category, status, NULL::VARCHAR AS phone, NULL::VARCHAR AS email, NULL::VARCHAR AS address, NULL::VARCHAR AS bank_details, id::VARCHAR AS id
+FROM vendors ORDER BY vendors.id % 97 DESC, vendors.id::VARCHAR LIMIT 50 OFFSET 10
+""")
 def vendor_page(spark: SparkSession, d: str) -> DataFrame:
-    return paging.page(f.vendors(spark, d), [F.desc_nulls_last("balance"), F.asc("id")], 50, 10).select("id", "vendor_code", "legal_name", "status")
+    """The vendor list: the latest first, without their creation time."""
+    return views.vendor_page(f.vendor_rows(spark, d), 50, 10)
 
 
 @_register("SELECT id, vendor_code, legal_name, status FROM vendors WHERE id = 7")
@@ -318,13 +311,20 @@ def submit_invoice(spark: SparkSession, d: str) -> DataFrame:
     return moved.select(F.col("id").cast("bigint").alias("id"), "status").join(answers, "id")
 
 
-@_register("SELECT 'SUBMIT' AS action, 'invoices' AS resource_type, id AS resource_id, 'u1' AS actor_id FROM invoices WHERE status = 'DRAFT' AND id % 50 <> 0 UNION ALL SELECT 'DELETE', 'purchases', id, 'u1' FROM purchases WHERE id % 5 = 0")
+@_register("""
+, logged AS (
+    SELECT 'SUBMIT' AS action, 'invoices' AS resource_type, id AS resource_id, '|' || id AS request FROM invoices WHERE status = 'DRAFT' AND id % 50 <> 0
+    UNION ALL SELECT 'DELETE', 'purchases', id, '' FROM purchases WHERE id % 5 = 0)
+SELECT left(sha256(action || '|' || resource_type || '|' || resource_id || '|1998-06-01 00:00:00+00:00' || request), 36) AS id, '1998-06-01 00:00:00' AS created_at,
+    'u1' AS actor_id, action, resource_type, resource_id, NULL::VARCHAR AS details FROM logged
+""")
 def audit_emit(spark: SparkSession, d: str) -> DataFrame:
     """The audit rows of a submission and of a delete batch."""
     _, (_, _, log, _) = _submissions(spark, d)
     p = f.purchases(spark, d).select(F.col("id").cast("string").alias("id"))
     _, _, deleted = changes.delete(p, p.where("CAST(id AS BIGINT) % 5 = 0"), "purchases", _CLOCK, "u1")
-    return log.unionByName(deleted).select("action", "resource_type", F.col("resource_id").cast("bigint").alias("resource_id"), "actor_id")
+    both = log.unionByName(deleted)
+    return both.withColumns({"resource_id": F.col("resource_id").cast("bigint"), "created_at": text.utc(F.col("created_at")).cast("string")})
 
 
 @_register("""

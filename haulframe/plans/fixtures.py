@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulframe.schemas import TABLES, evolve
+
 #: The clock of all registered queries.
 NOW = "1998-06-01 00:00:00"
 
@@ -29,6 +31,21 @@ def vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vendor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vendors with all columns of their table, ids as text."""
+    made = vendors(spark, sf_dir).withColumns({"created_at": F.timestamp_seconds(F.col("id") % 97 * 86400), "gstin": _text("G", F.col("id")), "category": F.col("category").cast("string"), "id": F.col("id").cast("string")})
+    return evolve(made, TABLES["vendors"])
+
+
+def user_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    made = c.select(
+        key.cast("string").alias("id"), _text("u", key, "@example.org").alias("email"), F.col("c_name").alias("full_name"), F.sha2("c_name", 256).alias("password_hash"),
+        F.when(F.col("c_nationkey") % 5 == 0, "ADMIN").otherwise("OPERATOR").alias("role"), (F.col("c_acctbal") >= 0).alias("is_active"),
+    )
+    return evolve(made, TABLES["users"])
+
+
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")

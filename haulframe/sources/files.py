@@ -11,6 +11,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -25,6 +26,9 @@ IMAGES = (".jpg", ".jpeg", ".png", ".webp")
 PREVIEW_ROWS, PREVIEW_COLUMNS = 100, 20
 PDF_RENDER_SCALE = 2
 
+# Numbered formats of dates and times, as the file format defines them.
+_DATE_FORMATS = {14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0"}
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -44,21 +48,36 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
 
 
-def stored(documents: DataFrame, files: DataFrame, root: str) -> DataFrame:
-    """Documents with content and found; the key is compared with the path below root, no path is built to be opened."""
+def stored(documents: DataFrame, files: DataFrame, root: str, most_named: int = 10_000) -> DataFrame:
+    """Documents with content and found; the key is compared with the path below root, no path is built to be opened.
+
+    The paths are matched first, without reading any content. If at most most_named match, only these files are
+    read; more are read by a scan of all files, joined with the matched paths.
+    """
     base = root.rstrip("/") + "/"
     key = F.element_at(F.split(F.col("path"), re.escape(base), 2), -1)
-    some = files.select(key.alias("__key"), "content")
+    wanted = documents.select(F.col("object_key").alias("__key")).where("__key IS NOT NULL").distinct()
+    matched = files.select("path").join(wanted, key == F.col("__key"), "left_semi")
+    names = [r[0] for r in matched.limit(most_named + 1).collect()]
+    if not names:
+        some = files.select("path", "content").limit(0)
+    elif len(names) <= most_named:
+        some = files.sparkSession.read.format("binaryFile").load(names).select("path", "content")
+    else:
+        some = files.select("path", "content").join(matched, "path", "left_semi")
+    some = some.select(key.alias("__key"), "content")
     return documents.join(some, F.col("object_key") == F.col("__key"), "left").withColumn("found", F.col("__key").isNotNull()).drop("__key")
 
 
 def docx_paragraphs(content: bytes) -> list[str]:
+    """Texts of the body's own paragraphs, not of those in tables and text boxes."""
+    parts = {f"{_W}t": lambda e: e.text or "", f"{_W}tab": lambda e: "\t", f"{_W}ptab": lambda e: "\t", f"{_W}cr": lambda e: "\n", f"{_W}noBreakHyphen": lambda e: "-", f"{_W}br": lambda e: "\n" if e.get(f"{_W}type", "textWrapping") == "textWrapping" else ""}
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
     out = []
-    for p in body.iter(f"{_W}p") if body is not None else ():
-        parts = {f"{_W}t": lambda e: e.text or "", f"{_W}tab": lambda e: "\t", f"{_W}br": lambda e: "\n", f"{_W}cr": lambda e: "\n"}
-        out.append("".join(parts[e.tag](e) for e in p.iter() if e.tag in parts))
+    for p in body.findall(f"{_W}p") if body is not None else ():
+        runs = [r for child in p for r in ([child] if child.tag == f"{_W}r" else child.findall(f"{_W}r") if child.tag == f"{_W}hyperlink" else ())]
+        out.append("".join(parts[e.tag](e) for r in runs for e in r if e.tag in parts))
     return out
 
 
@@ -71,6 +90,35 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+def _date_styles(z: zipfile.ZipFile) -> list[str | None]:
+    """Of each cell style whether its numbers are dates or times ("date"), time spans ("span"), or neither."""
+    if "xl/styles.xml" not in z.namelist():
+        return []
+    tree = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in tree.iter(f"{_S}numFmt")}
+    out: list[str | None] = []
+    for xf in tree.findall(f"{_S}cellXfs/{_S}xf"):
+        n = int(xf.get("numFmtId", 0))
+        code = own.get(n, _DATE_FORMATS.get(n, ""))
+        span = re.search(r"\[(h+|m+|s+)\]", code, re.I)
+        plain = re.sub(r"\"[^\"]*\"|\[(?!hh?\]|mm?\]|ss?\])[^\]]*\]", "", code)
+        out.append("span" if span else "date" if re.search(r"(?<![_\\])[dmhys]", plain, re.I) else None)
+    return out
+
+
+def _moment(number: float, kind: str, first: datetime):
+    """The date, time or time span that a serial number stands for."""
+    if kind == "span":
+        return timedelta(days=number)
+    days, part = divmod(number, 1)
+    within = timedelta(milliseconds=round(part * 86_400_000))
+    if 0 <= number < 1 and within.days == 0:
+        return (datetime.min + within).time()
+    if 0 < number < 60 and first.year == 1899:  # that calendar has a day 29 February 1900
+        days += 1
+    return first + timedelta(days=days) + within
+
+
 def xlsx_sheets(content: bytes) -> tuple[list[tuple[str, list[list]]], int]:
     """Title and rows of cell values (None where empty) of every sheet, and which sheet is the active one."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -79,6 +127,9 @@ def xlsx_sheets(content: bytes) -> tuple[list[tuple[str, list[list]]], int]:
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_S}si")]
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        styles = _date_styles(z)
+        settings = book.find(f"{_S}workbookPr")
+        first = datetime(1904, 1, 1) if settings is not None and settings.get("date1904") in ("1", "true") else datetime(1899, 12, 30)
         view = book.find(f"{_S}bookViews/{_S}workbookView")
         active = int(view.get("activeTab", 0)) if view is not None else 0
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
@@ -94,7 +145,11 @@ def xlsx_sheets(content: bytes) -> tuple[list[tuple[str, list[list]]], int]:
                 for c in r.findall(f"{_S}c"):
                     at = _column(c.get("r", "")) if c.get("r") else len(row)
                     row += [None] * (at - len(row))
-                    row.append(_value(c, shared))
+                    value = _value(c, shared)
+                    style = int(c.get("s", 0))
+                    if style < len(styles) and styles[style] and isinstance(value, (int, float)) and not isinstance(value, bool):
+                        value = _moment(value, styles[style], first)
+                    row.append(value)
                 rows.append(row)
             sheets.append((s.get("name"), rows))
     return sheets, active

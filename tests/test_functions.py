@@ -58,3 +58,30 @@ def test_users(spark):
     assert access.identity(users).columns == ["id", "email", "full_name", "role"]
     assert access.login_user(users.where("id = '1'")).head()["user"].asDict() == {"id": "1", "name": "A", "role": "ADMIN"}
     assert access.registered(users).columns == ["id", "email", "role"]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Kolkata", "America/New_York"])
+def test_days_and_keys_are_those_of_utc(spark, zone):
+    from datetime import datetime, timezone
+
+    from haulframe.operators import kpi
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for now in (F.lit(datetime(2024, 3, 1, 20, tzinfo=timezone.utc)), F.lit("2024-03-01 20:00:00").cast("timestamp_ntz")):
+            assert values(spark, text.object_key(F.lit("u"), now, F.lit("0123abcd"), F.col("x")), ["a"]) == ["u/20240301200000_0123abcd_a"]
+            due = spark.createDataFrame([("2024-02-29",), ("2024-03-01",)], "d string").select(F.col("d").cast("date").alias("due_date"), F.lit("DRAFT").alias("status"))
+            assert due.where(kpi.overdue(now)).count() == 1
+            start = datetime(2024, 3, 10, 2, tzinfo=timezone.utc)  # a day of 23 hours in New York
+            at = spark.createDataFrame([(1710036000 + h * 3600,) for h in (0, 23, 24)], "s bigint").select(F.timestamp_seconds("s").alias("scheduled_at"))
+            assert at.where(kpi.within_a_day(F.lit(start))).count() == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_totals_are_of_cents(spark):
+    from haulframe.operators import kpi
+
+    df = spark.createDataFrame([(0.005,), (0.1,), (0.2,)], "a double")
+    assert df.agg(kpi.total_of("a", "t")).head()[0] == 0.31

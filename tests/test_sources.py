@@ -115,3 +115,40 @@ def test_seed(spark):
     first = frame(spark, "users", [{"id": "1", "email": "admin@example.org", "role": "ADMIN", "created_at": datetime(2024, 1, 1)}])
     assert tables.seed_admin(frame(spark, "users", []), first).count() == 1
     assert [r["id"] for r in tables.seed_admin(frame(spark, "users", [{"id": "7"}]), first).collect()] == ["7"]
+
+
+def test_only_the_bodys_own_paragraphs(spark):
+    inner = "<w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t></w:r><w:hyperlink><w:r><w:t>link</w:t></w:r></w:hyperlink></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
+    content = archive({"word/document.xml": f'<w:document xmlns:w="{W}"><w:body>{inner}</w:body></w:document>'})
+    assert files.docx_paragraphs(content) == ["a\tblink"]
+
+
+def test_dates_in_spreadsheets():
+    styles = f'<styleSheet xmlns="{S}"><numFmts><numFmt numFmtId="164" formatCode="yyyy&quot;x&quot;"/><numFmt numFmtId="165" formatCode="[Red]0.0"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="21"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="46"/></cellXfs></styleSheet>'
+    cells = "".join(f'<c s="{s}"><v>{v}</v></c>' for s, v in ((0, 45352), (1, 45352), (1, "45352.5"), (2, 0.25), (3, 59), (4, 3.5), (5, 1.5)))
+    content = archive({
+        "xl/workbook.xml": f'<workbook xmlns="{S}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="A" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="x"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/styles.xml": styles, "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{S}"><sheetData><row r="1">{cells}</row></sheetData></worksheet>',
+    })
+    assert files.xlsx_text(content) == "45352 | 2024-03-01 00:00:00 | 2024-03-01 12:00:00 | 06:00:00 | 1900-02-28 00:00:00 | 3.5 | 1 day, 12:00:00"
+
+
+def test_only_matched_files_are_read(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}.bin").write_bytes(bytes([i]))
+    docs = spark.createDataFrame([("a", "1.bin"), ("b", "1.bin"), ("c", "9.bin"), ("d", None)], "id string, object_key string")
+    for most in (10, 0):
+        got = files.stored(docs, files.read_files(spark, str(tmp_path)), str(tmp_path), most)
+        assert sorted((r["id"], r["found"], r["content"] and bytes(r["content"])) for r in got.collect()) == [("a", True, b"\x01"), ("b", True, b"\x01"), ("c", False, None), ("d", False, None)]
+
+
+def test_jdbc_in_key_ranges(spark):
+    url = "jdbc:derby:memory:haul;create=true"
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.range(50).selectExpr("CAST(id AS INT) AS n", "CAST(id AS STRING) AS id", "concat('V', id) AS vendor_code", "'Acme' AS legal_name")
+    rows.write.format("jdbc").option("url", url).option("dbtable", "vendors").option("driver", driver).mode("overwrite").save()
+    whole = tables.read_jdbc(spark, url, "vendors", driver=driver)
+    assert whole.count() == 50 and whole.columns[0] == "id" and whole.where("status IS NULL").count() == 50
+    ranged = tables.read_jdbc(spark, url, "vendors", key="n", bounds=(0, 50), partitions=4, driver=driver)
+    assert ranged.rdd.getNumPartitions() == 4 and ranged.exceptAll(whole).isEmpty()

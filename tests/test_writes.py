@@ -175,3 +175,21 @@ def test_expiring(spark):
     people = frame(spark, "drivers", [{"id": "3", "license_expiry": date(2024, 5, 1)}, {"id": "4"}])
     got = sorted((r["resource_id"], r["paper"], r["days_left"]) for r in compliance.expiring(cars, people, F.lit("2024-05-01").cast("date"), 30).collect())
     assert got == [("1", "insurance_expiry", -30), ("1", "rc_expiry", 9), ("3", "license_expiry", 0)]
+
+
+def test_a_repeated_patch_is_no_conflict_and_each_has_its_audit_row(spark):
+    base = frame(spark, "vendors", [{"id": "1", "vendor_code": "A1", "legal_name": "Aa", "gstin": "G1", "status": "DRAFT"}, {"id": "2", "vendor_code": "B1", "legal_name": "Bb", "gstin": "G2", "status": "DRAFT"}])
+    asked = batch(spark, "vendors", [
+        {"seq": 1, "id": "1", "fields": ["gstin"], "gstin": "G3"}, {"seq": 2, "id": "1", "fields": ["gstin"], "gstin": "G3"}, {"seq": 3, "id": "2", "fields": ["gstin"], "gstin": "G3"},
+        {"seq": 4, "id": "2", "fields": ["gstin"], "gstin": "G1"},
+    ])
+    rows, rejected, log = changes.update(base, asked, "vendors", NOW, "u")
+    assert {r["id"]: r["gstin"] for r in rows.collect()} == {"1": "G3", "2": "G2"} and codes(rejected) == {3: 409, 4: 409}
+    assert len({r["id"] for r in log.collect()}) == 2
+    again, none, _ = changes.update(rows, asked.where("seq < 3"), "vendors", NOW, "u")
+    assert none.isEmpty() and again.where("gstin = 'G3'").count() == 1
+
+
+def test_login_needs_a_long_password(spark):
+    df = spark.createDataFrame([(1, "a@b.org", "1234567"), (2, "a@b.org", "12345678"), (3, "nobody", "12345678"), (4, "a@b.org", None)], "seq int, email string, password string")
+    assert codes(validation.add_errors(df, validation.field_rules("login"))) == {1: 422, 2: None, 3: 422, 4: 422}
