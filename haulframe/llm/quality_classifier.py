@@ -7,7 +7,7 @@ expression. The sample holds at most ``SAMPLE_PER_LABEL`` rows of each label, we
 labels' shares among all rows that may be learned from.
 
 Defined results: null text counts as empty, and empty texts are scored by their (zero) statistics;
-without any labelled row every score is 0.5. Rows of the held-out fold are not learned from, nor rows
+without any labelled row every score is 0.5, and an input without rows gives none. Rows of the held-out fold are not learned from, nor rows
 whose label is null. Repeated texts get equal scores; a null doc_id is carried through.
 """
 
@@ -137,10 +137,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     rows = bounded_sample(known, "y", "i", per_label)
     if not rows:
         return None
-    # at most 2 * per_label rows
+    # at most 2 * per_label rows; a document may stand there any number of times, and counts once
     chosen = F.broadcast(docs.sparkSession.createDataFrame([(r["i"], r["y"]) for r in rows], "i bigint, y int"))
     found = docs.select(F.col(doc_id).cast("bigint").alias("i"), F.col(text).alias("t")).join(chosen, "i")
-    got = sorted((tuple(r) for r in with_statistics(found, "t", {n: n for n in NAMES}).collect()))
+    measured = with_statistics(found, "t", {n: n for n in NAMES})
+    one = measured.groupBy("i").agg(F.min(F.struct(*(c for c in measured.columns if c != "i"))).alias("r")).select("i", "r.*")
+    got = sorted(tuple(r) for r in one.collect())
     if not got:
         return None
     x, y = np.array([r[2:] for r in got], np.float64), np.array([r[1] for r in got])

@@ -20,10 +20,7 @@ def _small_batches(run):
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     every = {
-        "pipeline": corpus_pipeline.run,
         "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op2_sentencepieces": sentencepieces.op2_sentencepieces,
         "op3_license_scan": license_scan.op3_license_scan,
@@ -39,10 +36,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
-    pipeline = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
-    return pipeline | {
+    return {
         "op3_license_scan": license_scan.OP3_SQL,
         "op5_decontamination": decontamination.OP5_SQL,
         "op6_quality_rules": quality_rules.OP6_SQL,
