@@ -1,21 +1,27 @@
 """Main-text extraction by deducing each host's page template from equivalence classes of tokens.
 
-A token is a tag in its role, the path of open elements. Tokens of one host that occur equally often
-in every page have the same occurrence vector and form an equivalence class; large and frequent
-classes are the template, nested by their paths, and what lies between their tokens are its slots.
-The vectors are never gathered: each page adds a hash of its count to the token's signature by
-exclusive or, so a host of any size is aggregated in parts. The main slot is the template's article
-element. On hosts without one no share of the text tells which container is the article (paragraphs, or the
-larger of two parts, may hold most of it), so there all of the body is the slot. Everything in it is extracted but nested menus, headers of the page, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments.
+A token is a tag in its role, the path of open elements, or a block of text in its role. Tokens of one
+host that occur equally often in every page have the same occurrence vector and form an equivalence
+class. The vectors are never gathered: each page adds a hash of its count to the token's signature, modulo
+2**64, so a host of any size is aggregated in parts. Classes that are frequent are the template: an element
+whose start and end are in one class is valid, valid elements nest by their paths, and blocks of text that
+nearly all pages have are furniture of the page. What is left between the template's tokens are its slots,
+whose sizes follow from the same counts. The main slot is the template's article element or, on hosts
+without one, the smallest valid element that holds practically all text which is neither furniture nor
+boilerplate. Everything in it is extracted but (where it is the whole body) furniture and nested menus,
+headers of the page, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+
+Pages are parsed twice, once to count and once to extract, in time linear in their length.
 
 Defined results: null or empty html gives an empty text; a page without the template's main slot is
 read by its own article or main element, or else its whole body without boilerplate; a null url counts
-as a host without name. Repeated rows get equal results. Columns of the input are kept.
+as a host without name; a host of fewer than ``LEAST_PAGES`` different pages has no furniture, nor one whose pages have nothing else. Repeated rows
+get equal results, and an input without rows gives none. Columns of the input are kept.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -29,13 +35,17 @@ from pyspark.sql import types as T
 from haulframe.llm.storage import free_name, materialise
 from haulframe.llm.tokens import frugal
 
-#: Deeper elements play the role of the one at this depth, so that unclosed tags make no long paths.
-DEPTH = 64
-#: A class is frequent if its tokens occur in this share of a host's pages, and large with so many tokens.
+#: A class is frequent if its tokens occur in this share of a host's pages.
 SUPPORT = 0.5
-LEAST_TOKENS = 2
-#: Templates of this size together are broadcast; larger ones are joined by host.
+#: Furniture is a block of text in this share of a host's pages, and in so many different ones.
+FURNITURE = 0.8
+LEAST_PAGES = 4
+#: The main slot of hosts without article elements holds this share of the text that is left.
+MAIN_SHARE = 0.95
+#: What is known of all hosts is broadcast up to this size together, else joined by host.
 BROADCAST_BYTES = 8 << 20
+#: A quote in a tag that isn't closed within so many characters is no quote.
+QUOTE_REACH = 1 << 16
 
 # Fixed values of the markup language and of customary names in it.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,8 +62,18 @@ MAIN = frozenset(("article", "main"))
 _CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li td th tr dd dt".split()), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "tbody")), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
 _STOPS = frozenset(("ul", "ol", "table", "article", "main", "div", "section", "body", "td", "dl", "select"))
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Elements that matter for which others end with a new one.
+_ENDING = _STOPS | frozenset(_CLOSED_BY)
+#: Elements that are no container of an article.
+_LEAVES = TEXT_ELEMENTS | frozenset("ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption hr".split())
+
+
+def _hash(text: str) -> int:
+    """A signed 64-bit hash that is the same in every process."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _named_dull(names: list[str], dull_names: frozenset[str]) -> bool:
@@ -65,17 +85,25 @@ def _named_dull(names: list[str], dull_names: frozenset[str]) -> bool:
     return False
 
 
+_paths: dict[tuple[int, str], int] = {}
+
+
 class Element:
-    """An open element: its name, its role (path of names with class, id and role), whether it stands in an article, and whether it or one around it is boilerplate."""
+    """An open element: its name, its role (a hash of the path of names with class, id and role), the role around it, whether it stands in an article, and whether it or one around it is boilerplate."""
 
-    __slots__ = ("name", "path", "depth", "main", "dull")
+    __slots__ = ("name", "path", "parent", "depth", "main", "dull", "size")
 
     def __init__(self, name: str, attributes: str, above: "Element | None"):
         given = [(m[0].lower(), next(x for x in m[1:] if x).strip().lower()) for m in _NAMED.findall(attributes) if any(m[1:])] if attributes else []
-        self.name = name
+        self.name, self.size = name, 0
         self.depth = above.depth + 1 if above else 1
-        key = ".".join([name, *(x for _, x in given)])
-        self.path = key if above is None else above.path if above.depth >= DEPTH else f"{above.path}>{key}"
+        self.parent = above.path if above else 0
+        key = self.parent, ".".join([name, *(x for _, x in given)])
+        if key not in _paths:
+            if len(_paths) > 1 << 16:
+                _paths.clear()
+            _paths[key] = _hash(f"{key[0]}>{key[1]}")
+        self.path = _paths[key]
         self.main = name in MAIN or bool(above and above.main)
         # the header of an article belongs to it
         dull_names = BOILERPLATE_NAMES - HEADER_NAMES if self.main else BOILERPLATE_NAMES
@@ -87,97 +115,175 @@ class Element:
             self.dull = _named_dull([*ids, *names], dull_names) or not self.main and any(p in dull_names for x in names for p in re.split(r"[_-]+", x))
 
 
+def _tags(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("start", name, attributes) and ("end", name, "") in page order; comments and raw contents are left out."""
+    at, n, last = 0, len(page), page.rfind(">")
+    begin = 0  # of the text that isn't given out yet
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            break
+        kind = page[at + 1 : at + 2]
+        if page.startswith("<!--", at):
+            end, found = page.find("-->", at + 4), None
+            end = n if end < 0 else end + 3
+        elif at > last:  # nothing can end any more but a comment
+            at += 1
+            continue
+        elif kind in ("!", "?"):
+            end, found = page.find(">", at) + 1, None
+        else:
+            found = _TAG.match(page, at, at + QUOTE_REACH)
+            if found is None:
+                named = _NAME.match(page, at)
+                if named is None:  # a lone <
+                    at += 1
+                    continue
+                end = page.find(">", named.end()) + 1
+                if not end:
+                    break
+                found = (kind == "/", named[1], page[named.end() : end - 1])
+            else:
+                end = found.end()
+                found = found.groups()
+        if begin < at:
+            yield "text", page[begin:at], ""
+        at = begin = end
+        if found is None:
+            continue
+        name = found[1].lower()
+        if found[0]:
+            yield "end", name, ""
+            continue
+        yield "start", name, found[2]
+        if name in RAW:
+            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            at = begin = close.end() if close else n
+            yield "end", name, ""
+    if begin < n:
+        yield "text", page[begin:], ""
+
+
 def events(page: str) -> Iterator[tuple[str, Element | None, str]]:
     """("start" or "end", element, "") for tags and ("text", element around it, text), in page order.
 
     Unclosed elements end where the markup says they do; ends without a start are ignored.
     """
     stack: list[Element] = []
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            yield "text", stack[-1] if stack else None, page[at:]
-            break
-        if m.start() > at:
-            yield "text", stack[-1] if stack else None, page[at : m.start()]
-        at = m.end()
-        if not m[2]:
+    ending: list[int] = []  # places in the stack of elements that may end with others
+    open_names: Counter = Counter()
+
+    def pop() -> Element:
+        if ending and ending[-1] == len(stack) - 1:
+            ending.pop()
+        e = stack.pop()
+        open_names[e.name] -= 1
+        return e
+
+    for kind, name, rest in _tags(page):
+        if kind == "text":
+            yield "text", stack[-1] if stack else None, name
             continue
-        name = m[2].lower()
-        if m[1]:
-            if any(e.name == name for e in stack):
+        if kind == "end":
+            if open_names[name] > 0:
                 while True:
-                    e = stack.pop()
+                    e = pop()
                     yield "end", e, ""
                     if e.name == name:
                         break
             continue
-        while stack:  # elements that this one ends
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if name in _CLOSED_BY.get(stack[i].name, ()) or stack[i].name in _STOPS), -1)
-            if depth < 0 or name not in _CLOSED_BY.get(stack[depth].name, ()):
+        while ending:  # elements that this one ends
+            place = next((i for i in reversed(ending) if name in _CLOSED_BY.get(stack[i].name, ()) or stack[i].name in _STOPS), -1)
+            if place < 0 or name not in _CLOSED_BY.get(stack[place].name, ()):
                 break
-            while len(stack) > depth:
-                yield "end", stack.pop(), ""
-        element = Element(name, m[3], stack[-1] if stack else None)
+            while len(stack) > place:
+                yield "end", pop(), ""
+        element = Element(name, rest, stack[-1] if stack else None)
         yield "start", element, ""
         if name in VOID:
             continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-            yield "end", element, ""
-            continue
+        if name in _ENDING:
+            ending.append(len(stack))
         stack.append(element)
+        open_names[name] += 1
     while stack:
-        yield "end", stack.pop(), ""
+        yield "end", pop(), ""
 
 
-def tokens_of(page: str) -> tuple[Counter, dict[str, int]]:
-    """Occurrences of each token and the place of its first one."""
-    counts, places = Counter(), {}
-    for kind, element, _ in events(page):
-        if kind != "text":
-            token = ("<" if kind == "start" else "/") + element.path
-            counts[token] += 1
-            places.setdefault(token, len(places))
-    return counts, places
+def blocks(page: str) -> Iterator[tuple[str, Element | None, str]]:
+    """events, with the text outside boilerplate gathered to ("block", element, text): white space as single spaces, references decoded."""
+    held: list[str] = []
+    owner: Element | None = None
 
+    def flush() -> Iterator[tuple[str, Element | None, str]]:
+        text = " ".join(html.unescape("".join(held)).split())
+        held.clear()
+        if text:
+            if owner is not None:
+                owner.size += len(text)
+            yield "block", owner, text
 
-def extract(page: str | None, slots: set[str] | None) -> str:
-    """The text of the elements whose path is in slots, in page order; see the module for pages without one."""
+    around: list[Element] = []  # open elements that aren't inline
+    for kind, element, text in events(page):
+        if kind == "text":
+            if not (element and element.dull):
+                if not held:
+                    owner = around[-1] if around else None
+                held.append(text)
+            continue
+        if element.name == "br":
+            if held:
+                held.append(" ")
+        elif element.name not in INLINE:
+            yield from flush()
+            if kind == "start" and element.name not in VOID:
+                around.append(element)
+            elif kind == "end" and around and around[-1] is element:
+                around.pop()
+                if around:
+                    around[-1].size += element.size
+        yield kind, element, ""
+    yield from flush()
+
+
+def tokens_of(page: str) -> dict[tuple, list[int]]:
+    """Tokens (kind, role, text, name, role around it, depth, boilerplate) of a page with their numbers and characters.
+
+    The kinds are < and / for tags (with the characters of text in the element at /) and T for blocks of text.
+    """
+    out: dict[tuple, list[int]] = {}
+    for kind, e, text in blocks(page):
+        if kind == "block":
+            token, size = ("T", e.path if e else 0, _hash(text), "", 0, 0, False), len(text)
+        else:
+            if e.name in INLINE or e.name in VOID:
+                continue
+            token, size = ("<" if kind == "start" else "/", e.path, 0, e.name, e.parent, e.depth, e.dull), e.size if kind == "end" else 0
+        held = out.setdefault(token, [0, 0])
+        held[0] += 1
+        held[1] += size
+    return out
+
+
+def extract(page: str | None, slots: set[int] | None, furniture: set[tuple[int, int]] | None = None) -> str:
+    """The text of the elements whose role is in slots, in page order, but for the furniture (role, hash of the text); see the module for pages without a slot."""
     if not page:
         return ""
-    found = list(events(page))
+    found = list(blocks(page))
     started = {e.path: e for kind, e, _ in found if kind == "start"}
     if not slots or not any(p in started and not started[p].dull for p in slots):
         slots = {e.path for e in started.values() if e.name in MAIN and not e.dull}
     if not slots:
-        slots = {e.path for e in started.values() if e.name == "body"} or {None}
-    blocks: list[str] = []
-    block: list[str] = []
-    inside = 0 if None not in slots else 1
-
-    def flush() -> None:
-        text = " ".join(html.unescape("".join(block)).split())
-        if text:
-            blocks.append(text)
-        block.clear()
-
-    for kind, element, text in found:
-        if kind == "text":
-            if inside and not (element and element.dull):
-                block.append(text)
-            continue
-        if element.name not in INLINE:
-            if element.name == "br":
-                block.append(" ")
-            else:
-                flush()
-        if element.path in slots and element.name not in VOID:
+        slots = {e.path for e in started.values() if e.name == "body"} or {0}
+    inside = 1 if 0 in slots else 0
+    out: list[str] = []
+    for kind, e, text in found:
+        if kind == "block":
+            if inside and not (furniture and not (e and e.main) and (e.path if e else 0, _hash(text)) in furniture):
+                out.append(text)
+        elif e.path in slots and e.name not in VOID:
             inside += 1 if kind == "start" else -1
-    flush()
-    return " ".join(blocks)
+    return " ".join(out)
 
 
 def host_of(url: Column) -> Column:
@@ -185,68 +291,126 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^.*?://([^/?#]*)", 1))
 
 
-_COUNTED = "host string, token string, vector bigint, pages bigint, occurrences bigint, place double"
-_COUNTED_ARROW = pa.schema([("host", pa.string()), ("token", pa.string()), ("vector", pa.int64()), ("pages", pa.int64()), ("occurrences", pa.int64()), ("place", pa.float64())])
+_KEY = ["host", "kind", "path", "text", "name", "parent", "depth", "dull"]
+_COUNTED = "host string, kind string, path bigint, text bigint, name string, parent bigint, depth int, dull boolean, vector bigint, pages bigint, occurrences bigint, size bigint, seen bigint"
+_COUNTED_ARROW = pa.schema([
+    ("host", pa.string()), ("kind", pa.string()), ("path", pa.int64()), ("text", pa.int64()), ("name", pa.string()), ("parent", pa.int64()), ("depth", pa.int32()), ("dull", pa.bool_()),
+    ("vector", pa.int64()), ("pages", pa.int64()), ("occurrences", pa.int64()), ("size", pa.int64()), ("seen", pa.int64()),
+])
+
+
+def _signed(x: int) -> int:
+    x &= (1 << 64) - 1
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _mixed(key: int, count: int) -> int:
-    """A hash of a page and a count, as a signed 64-bit number."""
+    """A hash of a page and a count."""
     x = (key ^ count * 0x9E3779B97F4A7C15) & (1 << 64) - 1
     x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
     x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
-    x ^= x >> 31
-    return x - (1 << 64) if x >> 63 else x
+    return x ^ x >> 31
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in frugal(batches):
-        held: dict[tuple[str, str], list] = {}
+        held: dict[tuple, list[int]] = {}
         for host, key, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            counts, places = tokens_of(page or "")
-            for token, n in [*counts.items(), ("", 1)]:  # the empty token counts the pages
-                row = held.setdefault((host, token), [0, 0, 0, 0.0])
-                row[0] ^= _mixed(key, n)
-                row[1] += 1
-                row[2] += n
-                row[3] += places.get(token, 0)
-        rows = [(*k, *v) for k, v in held.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 6, _COUNTED_ARROW)], schema=_COUNTED_ARROW)
+            mixed: dict[int, int] = {}
+            bit = 1 << (_mixed(key, 0) & 63)
+            # the token without a kind counts the pages
+            for token, (n, size) in [*tokens_of(page or "").items(), (("", 0, 0, "", 0, 0, False), (1, 0))]:
+                if n not in mixed:
+                    mixed[n] = _mixed(key, n)
+                row = held.get((host, *token))
+                if row is None:
+                    held[(host, *token)] = [mixed[n], 1, n, size, bit]
+                else:
+                    row[0] += mixed[n]
+                    row[1] += 1
+                    row[2] += n
+                    row[3] += size
+                    row[4] |= bit
+        rows = [(*k, _signed(v[0]), *v[1:4], _signed(v[4])) for k, v in held.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(_COUNTED_ARROW), _COUNTED_ARROW)], schema=_COUNTED_ARROW)
+
+
+_DEDUCED = "host string, slots array<bigint>, paths array<bigint>, texts array<bigint>"
+_DEDUCED_ARROW = pa.schema([("host", pa.string()), ("slots", pa.list_(pa.int64())), ("paths", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64()))])
+
+
+def deduce(tokens: list[dict]) -> tuple[set[int], set[tuple[int, int]]]:
+    """Roles of the main slot and the furniture (role, text) from a host's frequent tokens; the counts are those of all its pages.
+
+    tokens: dicts of kind, path, text, name, parent, depth, dull, vector, pages, occurrences, size, different, host_pages.
+    """
+    classes: dict[tuple, set] = {}  # occurrence vector to its tokens
+    by_role: dict[tuple, dict] = {}
+    for t in tokens:
+        classes.setdefault((t["vector"], t["pages"], t["occurrences"]), set()).add((t["kind"], t["path"], t["text"]))
+        by_role[t["kind"], t["path"]] = t
+    # valid elements: both ends are in one class
+    valid = {p: by_role["/", p] for c in classes.values() for kind, p, _ in c if kind == "<" and ("/", p, 0) in c}
+
+    def above(path: int) -> Iterator[int]:
+        """The valid elements around a role, from the inside; the template's nesting."""
+        while path in valid:
+            yield path
+            path = valid[path]["parent"]
+
+    named = {p for p, t in valid.items() if t["name"] in MAIN and not t["dull"]}
+    if named:
+        return {p for p in named if not any(q in named for q in above(valid[p]["parent"]))}, set()
+    texts = [t for t in tokens if t["kind"] == "T" and t["pages"] >= FURNITURE * t["host_pages"] and t["different"] >= LEAST_PAGES]
+    left = {p: t["size"] for p, t in valid.items()}  # text of each slot: all in the element but the furniture
+    for t in texts:
+        for p in above(t["path"]):
+            left[p] -= t["size"]
+    bodies = [p for p, t in valid.items() if t["name"] == "body"]
+    whole = left[bodies[0]] if bodies else max(left.values(), default=0)
+    if whole <= 0:  # the pages are all alike
+        return set(), set()
+    holding = [p for p, t in valid.items() if t["name"] not in _LEAVES and not t["dull"] and left[p] >= MAIN_SHARE * whole]
+    deepest = max((valid[p]["depth"] for p in holding), default=0)
+    slots = {p for p in holding if valid[p]["depth"] == deepest}
+    # within an element of its own the article may well repeat a passage; furniture stands around it
+    narrow = all(valid[p]["name"] not in ("html", "body") for p in slots) and bool(slots)
+    return slots, set() if narrow else {(t["path"], t["text"]) for t in texts}
+
+
+def _deduced(table: pa.Table) -> pa.Table:
+    slots, furniture = deduce(table.to_pylist())
+    known = sorted(furniture)
+    return pa.table([pa.array([x], f.type) for x, f in zip((table.column("host")[0].as_py(), sorted(slots), [p for p, _ in known], [t for _, t in known]), _DEDUCED_ARROW)], schema=_DEDUCED_ARROW)
 
 
 def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """host and template: its tokens in frequent, large classes as structs (place, token, class)."""
-    keyed = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(url, page).alias("key"), F.col(page).alias("page"))
-    sums = [F.bit_xor("vector").alias("vector"), *(F.sum(c).alias(c) for c in ("pages", "occurrences", "place"))]
-    counted = keyed.mapInArrow(_count, _COUNTED).groupBy("host", "token").agg(*sums)
-    whole = counted.where("token = ''").select("host", F.col("pages").alias("host_pages"))
-    frequent = counted.where("token <> ''").join(whole, "host").where(F.col("pages") >= SUPPORT * F.col("host_pages"))
-    classes = frequent.groupBy("host", "vector", "pages", "occurrences").agg(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token")).alias("tokens"))
-    large = classes.where(F.size("tokens") >= LEAST_TOKENS).select("host", F.xxhash64("vector", "pages", "occurrences").alias("class"), F.explode("tokens").alias("t"))
-    return large.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("t.place", "t.token", "class"))).alias("template"))
-
-
-def main_slots(template: list | None) -> set[str]:
-    """Paths of the main slot: the article elements that both start and end in the template; none if it has none."""
-    opened = {t["token"][1:]: t["class"] for t in template or () if t["token"][0] == "<"}
-    closed = {t["token"][1:]: t["class"] for t in template or () if t["token"][0] == "/"}
-    nested = [p for p, c in opened.items() if closed.get(p) == c]  # valid: both ends in one class
-    named = [p for p in nested if re.split(r"[.]", p.rsplit(">", 1)[-1])[0] in MAIN]
-    return {p for p in named if not any(p.startswith(q + ">") for q in named)}
+    """host, its main slots (roles), and its furniture as roles and hashes of the texts."""
+    keyed = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(page).alias("key"), F.col(page).alias("page"))
+    sums = [F.sum(F.col("vector").cast("decimal(20,0)")).alias("vector"), *(F.sum(c).alias(c) for c in ("pages", "occurrences", "size")), F.bit_or("seen").alias("seen")]
+    counted = keyed.mapInArrow(_count, _COUNTED).groupBy(*_KEY).agg(*sums).withColumn("different", F.bit_count("seen"))
+    # a token of one page alone is part of no template; of most pages these are nearly all blocks of text
+    counted = materialise(counted.where("kind = '' OR different > 1"))
+    whole = counted.where("kind = ''").select("host", F.col("pages").alias("host_pages"))
+    frequent = counted.where("kind <> ''").join(whole, "host").where(F.col("pages") >= SUPPORT * F.col("host_pages"))
+    # the vectors are sums modulo 2**64
+    vector = F.pmod(F.col("vector"), F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("string").alias("vector")
+    return frequent.select(*_KEY, vector, "pages", "occurrences", "size", "different", "host_pages").groupBy("host").applyInArrow(_deduced, _DEDUCED)
 
 
 def _read(page_at: int, n: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, set[str]] = {}
+        known: dict[str, tuple[set, set]] = {}
         for batch in frugal(batches):
             texts = []
-            hosts, found = batch.column(n), batch.column(n + 1)
+            hosts, slots, paths, blocks_of = (batch.column(n + k) for k in range(4))
             for i, page in enumerate(batch.column(page_at)):
                 host = hosts[i].as_py()
                 if host not in known:
                     if len(known) > 4096:
                         known.clear()
-                    known[host] = main_slots(found[i].as_py())
-                texts.append(extract(page.as_py(), known[host]))
+                    known[host] = set(slots[i].as_py() or ()), set(zip(paths[i].as_py() or (), blocks_of[i].as_py() or ()))
+                texts.append(extract(page.as_py(), *known[host]))
             made = [*batch.columns[:n], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, schema)], schema=schema)
 
@@ -258,12 +422,15 @@ def extract_main(pages: DataFrame, url: str = "url", page: str = "html") -> Data
     from pyspark.sql.pandas.types import to_arrow_schema
 
     known = materialise(templates(pages, url, page))
-    host, template = free_name("host", pages.columns), free_name("template", pages.columns)
-    known = known.withColumnsRenamed({"host": host, "template": template})
-    size = known.agg(F.sum(F.octet_length(F.to_json(F.struct(template))) + F.octet_length(host))).head()[0] or 0
+    names: list[str] = []
+    for n in ("host", "slots", "paths", "texts"):
+        names.append(free_name(n, [*pages.columns, *names]))
+    host = names[0]
+    size = known.agg(F.sum(F.octet_length("host") + 8 * (F.size("slots") + F.size("paths") + F.size("texts")) + 64)).head()[0] or 0
+    known = known.toDF(*names)
     if size <= BROADCAST_BYTES:
         known = F.broadcast(known)
-    both = pages.withColumn(host, host_of(F.col(url))).join(known, host, "left").select(*pages.columns, host, template)
+    both = pages.withColumn(host, host_of(F.col(url))).join(known, host, "left").select(*pages.columns, *names)
     schema = T.StructType(list(pages.schema.fields))
     for name, kind in (("text", T.StringType()), ("n_chars", T.LongType())):
         schema = schema.add(free_name(name, schema.names), kind)

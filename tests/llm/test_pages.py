@@ -57,13 +57,68 @@ def test_slug_ids_of_content_stay(spark, shape):
     assert {r["text"] for r in he.extract_main(df).collect()} == {"a b c d e f g h"}
 
 
-def test_template_is_an_equivalence_class(spark):
-    df = spark.createDataFrame([(i, f"http://c.org/{i}", page("<p>x</p>" * i)) for i in range(1, 9)], "page_id int, url string, html string").repartition(4)
-    found = {r["host"]: r["template"] for r in he.templates(df).collect()}["c.org"]
-    classes = {t["token"]: t["class"] for t in found}
-    assert classes["<html>body>article"] == classes["/html>body>article"] == classes["<html>body>nav>ul>li"]
-    assert classes["<html>body>article>p"] == classes["/html>body>article>p"] != classes["<html>body>article"]
-    assert he.main_slots(found) == {"html>body>article"}
+def counted(pages):
+    """Tokens of whole pages as the deduction gets them, by their plain vectors."""
+    rows = {}
+    for i, p in enumerate(pages):
+        for token, (n, size) in he.tokens_of(p).items():
+            row = rows.setdefault(token, {"vector": [0] * len(pages), "size": 0})
+            row["vector"][i], row["size"] = n, row["size"] + size
+    names = ("kind", "path", "text", "name", "parent", "depth", "dull")
+    out = []
+    for token, row in rows.items():
+        seen = sum(n > 0 for n in row["vector"])
+        if seen * 2 >= len(pages) and seen > 1:
+            out.append(dict(zip(names, token)) | {"vector": tuple(row["vector"]), "pages": seen, "occurrences": sum(row["vector"]), "size": row["size"], "different": seen, "host_pages": len(pages)})
+    return out
+
+
+def plain_page(i):
+    """No article element, no telling name: only the other pages tell what is the page's own."""
+    own = "".join(f"<p>paragraph {j} of page {i} with words of its own</p>" for j in range(2 + i % 3))
+    shared = "<p>a passage that some pages share</p>" if i % 3 == 0 else ""
+    return f'<html><body><div class="x1"><b>Home</b> Shop Contact</div><div class="x2"><div class="x3"><h1>Title {i}</h1>{own}{shared}</div><div class="x4">Read also: our other pages</div></div><div class="x5">All rights reserved</div></body></html>'
+
+
+def own_text(i):
+    return " ".join([f"Title {i}", *(f"paragraph {j} of page {i} with words of its own" for j in range(2 + i % 3)), *(["a passage that some pages share"] if i % 3 == 0 else [])])
+
+
+def test_template_is_made_of_equivalence_classes(spark):
+    pages = [plain_page(i) for i in range(9)]
+    slots, furniture = he.deduce(counted(pages))
+    df = spark.createDataFrame([(i, f"http://c.org/{i}", p) for i, p in enumerate(pages)], "page_id int, url string, html string").repartition(4)
+    found = he.templates(df).collect()
+    assert [(r["host"], set(r["slots"]), set(zip(r["paths"], r["texts"]))) for r in found] == [("c.org", slots, furniture)] and not furniture
+    by_path = {e.path: e for p in pages for kind, e, _ in he.blocks(p) if kind == "start"}
+    assert [by_path[s].depth for s in slots] == [4]
+
+
+def test_only_the_template_tells(spark):
+    rows = [(i, f"http://c.org/{i}", plain_page(i)) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    assert {r["page_id"]: r["text"] for r in he.extract_main(df).collect()} == {i: own_text(i) for i in range(9)}
+    assert all(he.extract(p, set(), set()) != own_text(i) for i, _, p in rows)
+    # doubled pages change nothing
+    twice = df.union(df).union(df.where("page_id = 3"))
+    assert {(r["page_id"], r["text"]) for r in he.extract_main(twice).collect()} == {(i, own_text(i)) for i in range(9)}
+
+
+def test_an_article_over_two_containers_stays_whole(spark):
+    shape = '<html><body><div class="top">Home</div><div class="a"><p>first part {0} {0}</p></div><div class="b"><p>second part {0}</p></div></body></html>'
+    slots, furniture = he.deduce(counted([shape.format(i) for i in range(6)]))
+    assert len(slots) == 1 and len(furniture) == 1
+    df = spark.createDataFrame([(i, f"http://e.org/{i}", shape.format(i)) for i in range(6)], "page_id int, url string, html string")
+    assert {r["text"] for r in he.extract_main(df).collect()} == {f"first part {i} {i} second part {i}" for i in range(6)}
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<b>", "<a \"", "<!--", "<![", "<p><b>", "</b>", "<li>", "<a '\">", "<title>", "<div class='x'>", "&", "<"])
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    began = time.perf_counter()
+    he.extract(piece * (1_000_000 // len(piece)) + "x>", None)
+    assert time.perf_counter() - began < 40
 
 
 def test_odd_pages(spark):
