@@ -37,12 +37,10 @@ def test_equals_plain_version(spark, seed):
     df, bench = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id bigint, text string")
     want = {(d, i) for d, i in plain.overlaps(docs, items, WINDOW, SUBSTITUTIONS) if len(plain.alnum_words(items[i][1])) >= WINDOW}
     short = {i for i, t in items if len(plain.alnum_words(t)) < WINDOW}
-    for block in (1 << 20, 200):
-        rows = overlaps(df, bench, block_bytes=block).collect()
-        assert {(r["doc_id"], r["item_id"]) for r in rows if r["item_id"] not in short} == want
-        assert all(r["n_words"] >= min(WINDOW, r["n_words"]) and r["n_equal"] <= r["n_words"] for r in rows)
-    found = {r["doc_id"] for r in overlaps(df, bench).collect()}
-    assert {r["doc_id"] for r in drop_contaminated(df, bench, block_bytes=200).collect()} == {d for d, _ in docs} - found
+    rows = overlaps(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows if r["item_id"] not in short} == want
+    assert all(r["n_equal"] <= r["n_words"] for r in rows)
+    assert {r["doc_id"] for r in drop_contaminated(df, bench).collect()} == {d for d, _ in docs} - {r["doc_id"] for r in rows}
 
 
 def test_the_whole_registered_query(spark, sf001):
@@ -86,10 +84,9 @@ def test_short_items(spark):
     want = plain.overlaps(docs, items, WINDOW, SUBSTITUTIONS) | exact
     assert {i for _, i in want} == set(range(1, WINDOW))
     df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    for block in (1 << 20, 100):
-        rows = overlaps(df, bench, block_bytes=block).collect()
-        assert len(rows) == len(want) and {(r["doc_id"], r["item_id"]) for r in rows} == want
-        assert all(r["n_words"] == r["item_id"] for r in rows)
+    rows = overlaps(df, bench).collect()
+    assert len(rows) == len(want) and {(r["doc_id"], r["item_id"]) for r in rows} == want
+    assert all(r["n_words"] == r["item_id"] for r in rows)
     assert {r["doc_id"] for r in drop_contaminated(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
@@ -104,3 +101,36 @@ def test_short_items_equal_plain_version(spark, seed):
     want = plain.overlaps(docs, items, WINDOW, SUBSTITUTIONS) | {(d, i) for d, w in spaced.items() for i, t in items if len(t.split()) < 8 and f" {t} " in w}
     df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     assert {(r["doc_id"], r["item_id"]) for r in overlaps(df, bench).collect()} == want
+
+
+def test_a_full_filter_and_small_groups_change_nothing(spark, monkeypatch):
+    """With a filter that lets nearly everything through, and few texts and words at a time, the overlaps are the same."""
+    from haulframe.llm import decontamination
+
+    docs, items = cases(5)
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted(map(tuple, overlaps(df, bench).collect()))
+    for name, value in (("FILTER_BITS", 8), ("GROUP_TEXTS", 2), ("COMPARED", 50)):
+        monkeypatch.setattr(decontamination, name, value)
+    monkeypatch.setattr(decontamination, "MOST_NAMED", 0)
+    assert sorted(map(tuple, overlaps(df, bench).collect())) == want and want
+
+
+@pytest.mark.parametrize("there, here", [([3, 9, 4], [1]), (range(50), range(0, 40, 2)), ([7], [0, 5, 6]), (range(0, 90, 3), range(5, 60))])
+def test_shifts(there, here):
+    import numpy as np
+
+    from haulframe.llm.decontamination import shifts
+
+    assert shifts(np.array(there), np.array(here)).tolist() == sorted({a - b for a in there for b in here})
+
+
+def test_long_texts_of_one_word(spark):
+    import time
+
+    text = "again " * 20_000
+    df, bench = spark.createDataFrame([(1, text)], "doc_id bigint, text string"), spark.createDataFrame([(2, text)], "item_id bigint, text string")
+    began = time.perf_counter()
+    rows = overlaps(df, bench).collect()
+    assert len(rows) == 2 * (20_000 - WINDOW) + 1 and max(r["n_equal"] for r in rows) == 20_000
+    assert time.perf_counter() - began < 90
