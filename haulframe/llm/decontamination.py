@@ -40,7 +40,7 @@ MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 4, 6, 7, 8, 9), (0, 1, 3, 4, 7, 9, 10))
 EXACT = 8
 
 #: The filter has at least as many bits for each seed of the items, up to its bound (32 MB).
-BITS_PER_SEED = 32
+BITS_PER_SEED = 256
 FILTER_BITS = 28
 #: Texts that a group of the comparison holds, about, and words that are compared at a time.
 GROUP_TEXTS = 64
