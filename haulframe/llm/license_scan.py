@@ -13,7 +13,7 @@ Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z t
 Defined results: null or empty text has no words, no labels and score 0; repeated rows get equal
 results; a null doc_id is carried through; an input without rows gives none. ``score`` is the largest
 share of a verified template's words that stand at their places, 0.5 if only a plain phrase was found.
-Columns of the input that bear a result's name are replaced.
+Very long texts are scanned whole. Columns of the input that bear a result's name are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -23,30 +23,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bound of the look-up in ``OP3_SQL`` only; ``scan`` has none. That SQL also passes over templates that would begin
-#: before the text's first word. On texts with either, ``scan`` finds more; else both are equal.
-RARE = 16
+from haulframe.llm.storage import free_name
+
 VOTES = 2
 
 # Phrases whose places are counted, and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Customary notices of public licenses; mandatory key phrases stand in brackets.
+# Customary notices and beginnings of public licenses; mandatory key phrases stand in brackets.
 TEMPLATES = {
     "agpl-3.0": "licensed under the [gnu affero general public license] [version 3]",
-    "apache-2.0": "licensed under the [apache license version 2 0]",
-    "bsd": "[redistribution and use in source and binary forms] with or without modification are [permitted provided that] the following conditions are met",
+    "apache-2.0": "licensed under the [apache license version 2 0] the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+    "bsd": "[redistribution and use in source and binary forms] with or without modification are [permitted provided that] the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-3-clause": "[neither the name of] the copyright holder nor the names of [its contributors may be used to endorse or promote products] derived from this software without specific prior written permission",
+    "bsl-1.0": "distributed under the [boost software license version 1 0]",
     "cc-by-4.0": "this work is licensed under a [creative commons attribution 4 0] international license",
     "cc-by-nc-4.0": "licensed under [cc by nc 4 0]",
     "cc-by-sa-4.0": "licensed under [cc by sa 4 0]",
-    "gpl-2.0": "under the terms of the [gnu general public license] as published by the [free software foundation] either [version 2] of the license",
+    "cc0-1.0": "[cc0 1 0 universal] public domain dedication",
+    "epl-2.0": "this program and the accompanying materials are made available under the terms of the [eclipse public license] v 2 0",
+    "gpl-2.0": "under the terms of the [gnu general public license] as published by the [free software foundation] either [version 2] of the license or at your option any later version",
     "gpl-3.0": "this work is licensed under the [gnu general public license version 3]",
-    "isc": "[permission to use copy modify] and or [distribute this software] for any purpose with or without fee is hereby granted",
-    "lgpl-2.1": "under the terms of the [gnu lesser general public license] as published by the free software foundation",
-    "mit-notice": "released under the [mit license]",
-    "mit-terms": "[permission is hereby granted free of charge] to any person obtaining a copy of this software and associated documentation files",
-    "mpl-2.0": "this source code form is subject to the terms of the [mozilla public license] v 2 0",
-    "unlicense": "this is free and [unencumbered software released into the public domain]",
+    "isc": "[permission to use copy modify] and or [distribute this software] for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl-2.1": "under the terms of the [gnu lesser general public license] as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "mit-notice": "[released under the mit license]",
+    "mit-terms": "[permission is hereby granted free of charge] to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+    "mpl-2.0": "this source code form is subject to the terms of the [mozilla public license] v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+    "unlicense": "this is free and [unencumbered software released into the public domain] anyone is free to copy modify publish use compile sell or distribute this software",
+    "zlib": "[this software is provided as is without any express or implied warranty] in no event will the authors be held liable for any damages arising from the use of this software",
 }
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -85,14 +89,14 @@ def _present(words: Column, vocabulary: list[str]) -> Column:
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> dict[str, int]:
-    """Documents of the corpus with each template word; the result is as long as the templates' vocabulary."""
-    vocabulary = sorted({w for t in TEMPLATES.values() for w, _ in template_words(t)})
+    """Documents of the corpus with each word of the key phrases; the result is as long as their vocabulary."""
+    vocabulary = sorted({w for t in TEMPLATES.values() for w, key in template_words(t) if key})
     counts = docs.select(F.explode(_present(_words(text), vocabulary)).alias("w")).groupBy("w").count().collect()
     return dict.fromkeys(vocabulary, 0) | {r["w"]: r["count"] for r in counts}
 
 
 def by_rarity(frequencies: dict[str, int]) -> list[str]:
-    """The template words by falling inverse document frequency, equals by name."""
+    """The key words by falling inverse document frequency, equals by name."""
     return sorted(frequencies, key=lambda w: (frequencies[w], w))
 
 
@@ -165,10 +169,11 @@ def scan(docs: DataFrame, frequencies: dict[str, int], text: str = "text") -> Da
         return F.when(reduce(lambda a, b: a | b, [has_all(present, n) for n in needed]), _let(F.array_compact(marked), lambda hits: of_hits(words, present, hits)))
 
     def of_words(words: Column) -> Column:
-        return F.struct(F.size(words).cast("bigint").alias("n"), _let(_present(words, ranked), lambda present: of_present(words, present)).alias("of"))
+        return F.struct(F.size(words).cast("bigint").alias("n"), _let(_present(words, sorted({*ranked, *phrase_words})), lambda present: of_present(words, present)).alias("of"))
 
-    made = docs.withColumn("__scan", _let(_words(text), of_words))
-    s = F.col("__scan")
+    held = free_name("scan", docs.columns)
+    made = docs.withColumn(held, _let(_words(text), of_words))
+    s = F.col(held)
     none = F.array().cast("array<string>")
     places_found, base, methods = s["of"]["places"], F.coalesce(s["of"]["base"], none), s["of"]["found"]
     best = F.array_max(F.transform(methods, lambda x: x["share"]))
@@ -180,7 +185,7 @@ def scan(docs: DataFrame, frequencies: dict[str, int], text: str = "text") -> Da
         "base_labels": F.array_join(F.array_sort(F.array_distinct(base)), ","),
         "labels": F.array_join(F.array_sort(F.array_distinct(F.concat(base, F.coalesce(F.transform(methods, lambda x: x["label"]), none)))), ","),
         "score": F.coalesce(best, F.when(F.size(base) > 0, 0.5), F.lit(0.0)),
-    }).drop("__scan")
+    }).drop(held)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,12 +203,11 @@ WITH template(label, pos, word, key) AS (VALUES {rows}),
 lists AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
 words AS (SELECT doc_id, unnest(range(0, len(ws))) AS p, unnest(ws) AS w FROM lists),
 frequency AS (SELECT w AS word, count(DISTINCT doc_id) AS df FROM words WHERE w IN (SELECT word FROM template) GROUP BY w),
-rare AS (
-    SELECT doc_id, word FROM (SELECT DISTINCT doc_id, w AS word FROM words WHERE w IN (SELECT word FROM template)) JOIN frequency USING (word)
-    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, word) <= {RARE}),
+indexed AS (
+    SELECT label, word, pos FROM (SELECT label, word, min(pos) AS pos FROM template WHERE key GROUP BY label, word) LEFT JOIN frequency USING (word)
+    QUALIFY row_number() OVER (PARTITION BY label ORDER BY coalesce(df, 0), word) <= {VOTES}),
 voted AS (
-    SELECT doc_id, label, o FROM (SELECT doc_id, label, p - pos AS o FROM words JOIN rare r USING (doc_id) JOIN template t ON t.word = r.word WHERE w = r.word)
-    WHERE o >= 0 GROUP BY doc_id, label, o HAVING count(*) >= {VOTES}),
+    SELECT doc_id, label, p - pos AS o FROM words JOIN indexed ON w = word GROUP BY doc_id, label, o HAVING count(*) >= {VOTES}),
 verified AS (
     SELECT v.doc_id, v.label, o, count(w.w)::DOUBLE / count(*) AS share, bool_and(w.w IS NOT NULL OR NOT key) AS ok
     FROM voted v JOIN template t ON v.label = t.label LEFT JOIN words w ON w.doc_id = v.doc_id AND w.p = o + t.pos AND w.w = t.word

@@ -10,7 +10,7 @@ CASES = [
     (102, "apache license apache license cc by", "apache,cc-by", "apache,cc-by", 3),
     (103, "Permission is hereby granted, free of charge, to any person obtaining a copy", "", "mit-terms", 0),
     (104, "Permission was hereby granted, free of charge, to any person obtaining a copy", "", "", 0),
-    (105, "apache\u212a license, mit\u00e9 license, MIT LICENSE", "mit", "mit,mit-notice", 1),
+    (105, "apache\u212a license, mit\u00e9 license, MIT LICENSE", "mit", "mit", 1),
     (106, "released under the mit license and licensed under cc by-nc 4.0", "cc-by,mit", "cc-by,cc-by-nc-4.0,mit,mit-notice", 2),
 ]
 
@@ -21,7 +21,7 @@ def test_cases(spark):
     for d, t, base, labels, n in CASES:
         assert (got[d]["base_labels"], got[d]["labels"], got[d]["n_base"], got[d]["n_words"]) == (base, labels, n, len(plain.alnum_words(t))), d
     assert (got[101]["first_word"], got[101]["last_word"]) == (506, 506) and got[103]["first_word"] is None
-    assert got[100]["score"] == 1 and got[102]["score"] == 0.5 and got[104]["score"] == 0
+    assert 0.2 < got[100]["score"] < 0.5 and got[106]["score"] == 1 and got[102]["score"] == 0.5 and got[104]["score"] == 0
 
 
 def test_odd_rows(odd, none):
@@ -39,12 +39,17 @@ def test_frequencies_are_of_documents(spark):
     assert ranked.index("released") < ranked.index("of") < ranked.index("gnu") == len(ranked) - 1
 
 
-@pytest.mark.parametrize("label", sorted(ls.TEMPLATES))
-def test_every_template_finds_itself(spark, label):
-    text = " ".join(w for w, _ in ls.template_words(ls.TEMPLATES[label]))
-    docs = spark.createDataFrame([(f"some words before; {text} and after",)], "text string")
+def test_every_template_finds_itself(spark):
+    texts = [(label, f"some words before; {' '.join(w for w, _ in ls.template_words(t))} and after") for label, t in sorted(ls.TEMPLATES.items())]
+    docs = spark.createDataFrame(texts, "want string, text string")
+    for row in ls.scan(docs, ls.document_frequencies(docs)).collect():
+        assert row["want"] in row["labels"].split(",") and row["score"] == 1
+
+
+def test_columns_named_like_helpers_stay(spark):
+    docs = spark.createDataFrame([("mit license", "a", "b")], "text string, scan string, __scan string")
     row = ls.scan(docs, ls.document_frequencies(docs)).head()
-    assert label in row["labels"].split(",") and row["score"] == 1
+    assert (row["scan"], row["__scan"], row["base_labels"]) == ("a", "b", "mit")
 
 
 def test_text_that_holds_all_notices_gets_all_labels(spark):
