@@ -18,6 +18,7 @@ Very long texts are scanned whole. Columns of the input that bear a result's nam
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,7 +74,7 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _is(words: Column, at: Column, word: str) -> Column:
+def _is(words: Column, at: Column, word: str | Column) -> Column:
     return F.coalesce(F.get(words, at) == word, F.lit(False))
 
 
@@ -83,9 +84,19 @@ def _words(text: str) -> Column:
     return F.regexp_extract_all(F.lower(plain), F.lit(_LISTED_WORD), F.lit(0))
 
 
+def _list(words: Iterable[str]) -> Column:
+    """The words as a literal array, made in one call."""
+    return F.expr("array(" + ", ".join(f"'{w}'" for w in words) + ")")
+
+
+def _places(parts: list[tuple[str, int]]) -> Column:
+    """Words w and their places j as a literal array of structs, made in one call."""
+    return F.expr("array(" + ", ".join(f"named_struct('w', '{w}', 'j', {j})" for w, j in parts) + ")")
+
+
 def _present(words: Column, vocabulary: list[str]) -> Column:
     """The different words of the vocabulary that occur, by one look-up a word."""
-    return F.array_intersect(words, F.array(*map(F.lit, vocabulary)))
+    return F.array_intersect(words, _list(vocabulary))
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> dict[str, int]:
@@ -106,7 +117,7 @@ def scan(docs: DataFrame, frequencies: dict[str, int], text: str = "text") -> Da
     phrase_words = sorted({w for p in PHRASES for w in p.split()})
 
     def has_all(present: Column, needed: list[str]) -> Column:
-        return reduce(lambda a, b: a & b, [F.array_contains(present, w) for w in dict.fromkeys(needed)])
+        return F.forall(_list(dict.fromkeys(needed)), lambda w: F.array_contains(present, w))
 
     def key_words(label: str) -> list[str]:
         return [w for w, key in template_words(TEMPLATES[label]) if key]
@@ -135,10 +146,11 @@ def scan(docs: DataFrame, frequencies: dict[str, int], text: str = "text") -> Da
             return F.transform(F.filter(hits, lambda h: h["w"] == word), lambda h: h["p"] - at)
 
         def verified(offset: Column) -> Column:
-            return reduce(lambda a, b: a & b, [_is(words, offset + j, w) for j, (w, key) in enumerate(parts) if key])
+            return F.forall(_places([(w, j) for j, (w, key) in enumerate(parts) if key]), lambda e: _is(words, offset + e["j"], e["w"]))
 
         def share(offset: Column) -> Column:
-            return reduce(lambda a, b: a + b, [_is(words, offset + j, w).cast("int") for j, (w, _) in enumerate(parts)]) / len(parts)
+            there = F.filter(_places([(w, j) for j, (w, _) in enumerate(parts)]), lambda e: _is(words, offset + e["j"], e["w"]))
+            return F.size(there) / len(parts)
 
         def voted(offsets: Column) -> Column:
             """Sorted offsets to those that stand there often enough. One before the text's first word only lacks optional words."""
@@ -164,7 +176,7 @@ def scan(docs: DataFrame, frequencies: dict[str, int], text: str = "text") -> Da
         )
 
     def of_present(words: Column, present: Column) -> Column:
-        marked = F.transform(words, lambda x, i: F.when(x.isin(marked_words), F.struct(x.alias("w"), i.alias("p"))))
+        marked = F.transform(words, lambda x, i: F.when(F.array_contains(_list(marked_words), x), F.struct(x.alias("w"), i.alias("p"))))
         needed = [p.split() for p in PHRASES] + [key_words(label) for label in TEMPLATES]
         return F.when(reduce(lambda a, b: a | b, [has_all(present, n) for n in needed]), _let(F.array_compact(marked), lambda hits: of_hits(words, present, hits)))
 

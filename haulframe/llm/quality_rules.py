@@ -8,6 +8,7 @@ respective distance is not judged. Everything is computed inside the row: no shu
 
 Defined results: null or empty text has no words, zero counts, fails the base rule and is not kept.
 Repeated rows get equal results, a null doc_id is carried through, and an input without rows gives none.
+Very long texts are measured whole. Columns of the input that bear a result's name are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulframe.llm.storage import free_name
+
 WINDOW = 5
 MIN_WORDS = 40
 MIN_CHARS = 80
@@ -43,7 +46,7 @@ class Reference:
     words: dict[str, float]
 
 
-# Rounded shares of running prose in four languages.
+# Approximate, rounded shares of running prose in four languages, not counted from a corpus.
 REFERENCES = {
     "en": Reference((0.795, 0.165, 0.018, 0.002, 0.018, 0.001, 0.001), {"the": 0.055, "of": 0.029, "and": 0.024, "to": 0.021, "a": 0.017, "in": 0.016, "is": 0.010, "that": 0.009, "it": 0.008, "for": 0.008}),
     "de": Reference((0.790, 0.140, 0.030, 0.002, 0.020, 0.001, 0.017), {"der": 0.045, "die": 0.032, "und": 0.025, "in": 0.018, "den": 0.012, "von": 0.011, "zu": 0.010, "das": 0.010, "mit": 0.008, "sich": 0.007}),
@@ -110,14 +113,15 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         return (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint")
 
     lines = F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(_WORD)))
-    made = docs.withColumn("__measured", F.struct(
+    held = free_name("measured", docs.columns)
+    made = docs.withColumn(held, F.struct(
         _let(F.regexp_extract_all(t, F.lit(_WORD), F.lit(0)), of_words).alias("words"),
         _let(lines, of_lines).alias("n_dup_lines"),
         F.length(F.regexp_replace(t, _SPACE, "")).cast("bigint").alias("word_chars"),
         (F.length(t) - F.length(F.regexp_replace(t, _SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         _left_lengths(t).alias("left"),
     ))
-    m = F.col("__measured")
+    m = F.col(held)
     total = F.greatest(m["left"][0], F.lit(1))
     classes = [(m["left"][i] - m["left"][i + 1]) / total for i in range(len(CLASSES))] + [m["left"][len(CLASSES)] / total]
     n_words = F.greatest(m["words"]["n_words"], F.lit(1))
@@ -127,7 +131,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         shares.append(1 - reduce(add, shares))
         out[f"class_{name}"] = _distance(classes, list(reference.classes))
         out[f"word_{name}"] = _distance(shares, [*reference.words.values(), 1 - sum(reference.words.values())])
-    return made.withColumns(out).drop("__measured")
+    return made.withColumns(out).drop(held)
 
 
 def _left_lengths(t: Column) -> Column:

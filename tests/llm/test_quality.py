@@ -94,3 +94,10 @@ def test_rules_agree_with_labels(spark, sf001):
     got = qr.op6_quality_rules(spark, sf001).join(spark.read.parquet(f"{sf001}/labels.parquet"), "doc_id").collect()
     good, bad = [r for r in got if r["quality"] == 1 and not r["base_failed"]], [r for r in got if r["quality"] == 0]
     assert sum(r["kept"] for r in good) > 0.98 * len(good) and sum(r["kept"] for r in bad) < 0.15 * len(bad)
+
+
+def test_columns_named_like_helpers_stay(spark):
+    from haulframe.llm import quality_rules
+
+    row = quality_rules.judge(spark.createDataFrame([("a b c", "x", "y")], "text string, measured string, __measured string")).head()
+    assert (row["measured"], row["__measured"], row["n_words"], row["kept"]) == ("x", "y", 3, False)
